@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcorpus.llm import encoding, leaks, mixing, site_lines, term_counts
+from voxcorpus.llm import encoding, leaks, mixing, sentences, site_lines, term_counts
 from voxcorpus.llm.common import KEY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,19 @@ def query(f: Query) -> Query:
     return f
 
 
+# 1: sentence boundaries across languages and scripts
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_spans(table(spark, d, "documents_in"))
+
+
+@query
+def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents_in"))
+
+
 # 4: lines repeated across one site's documents
 
 
