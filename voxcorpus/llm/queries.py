@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcorpus.llm import encoding, leaks, mixing, sentences, site_lines, term_counts
+from voxcorpus.llm import encoding, leaks, mixing, quality, sentences, site_lines, term_counts
 from voxcorpus.llm.common import KEY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,19 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents_in"))
 
 
+# 3: per-document text quality statistics
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.junk_documents(table(spark, d, "documents_in"))
+
+
+@query
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents_in"))
+
+
 # 4: lines repeated across one site's documents
 
 
