@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcorpus.llm import encoding, leaks, mixing, quality, sentences, site_lines, term_counts
+from voxcorpus.llm import encoding, leaks, markup, mixing, quality, sentences, site_lines, term_counts
 from voxcorpus.llm.common import KEY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,19 @@ WITH docs AS (
 SQL["p5_found"] = _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL"
 SQL["p5_terms"] = _TERMS + "SELECT field_name, term, occurrences, records, mark FROM marked"
 
+# 6: markup residue in text documents
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_pieces(table(spark, d, "documents_in"))
+
+
+@query
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_drafts(table(spark, d, "documents_in"))
+
+
 # 7: evaluation texts leaking into training text
 
 
