@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcorpus.llm import encoding, leaks, markup, mixing, quality, sentences, site_lines, term_counts
+from voxcorpus.llm import boilerplate, encoding, leaks, markup, mixing, quality, sentences, site_lines, term_counts
 from voxcorpus.llm.common import KEY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,19 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents_in"))
 
 
+# 2: page boilerplate mixed with main content
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.page_frames(table(spark, d, "documents_in"))
+
+
+@query
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.page_bodies(table(spark, d, "documents_in"))
+
+
 # 3: per-document text quality statistics
 
 
