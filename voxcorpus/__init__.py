@@ -1,0 +1 @@
+"""Spark-native measures of how a body of writing sounds."""
