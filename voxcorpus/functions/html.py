@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
@@ -157,12 +158,18 @@ def file_content(html: str | None) -> tuple[str, str]:
     return (h1.text() if h1 is not None else ""), page.text()
 
 
-@F.pandas_udf("title string, text string")
-def page_content_udf(html: pd.Series) -> pd.DataFrame:
-    got = [page_content(h) or (None, None) for h in html]
-    return pd.DataFrame(got, columns=["title", "text"])
+def _udf(of):
+    def run(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(h) or (None, None) for h in html], columns=["title", "text"])
 
+    return F.pandas_udf(run, "title string, text string")
 
-@F.pandas_udf("title string, text string")
-def file_content_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([file_content(h) for h in html], columns=["title", "text"])
+
+def page_content_column(html: Column) -> Column:
+    """``title, text`` of a page's main content, both null if there is too little."""
+    return _udf(page_content)(html)
+
+
+def file_content_column(html: Column) -> Column:
+    """``title, text`` of an HTML file."""
+    return _udf(file_content)(html)

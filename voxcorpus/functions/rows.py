@@ -11,3 +11,10 @@ def beside(df: DataFrame, one: DataFrame) -> DataFrame:
     left = df.withColumn("_one", F.lit(0))
     right = one.limit(1).withColumn("_one", F.lit(0))
     return left.join(F.broadcast(right), "_one").drop("_one")
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys appear once, as the left side has them."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])

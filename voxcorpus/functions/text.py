@@ -28,12 +28,12 @@ def normalize_whitespace(text: Column) -> Column:
 
 def markdown_heading(text: Column) -> Column:
     """The first first-level heading, "" without one."""
-    return F.regexp_extract(text, r"(?m)^\s*#\s+(.+?)\s*$", 1)
+    return F.regexp_extract(text, r"(?md)^\s*#\s+(.+?)\s*$", 1)
 
 
 def strip_markdown(text: Column) -> Column:
     """Text without heading marks, link targets and backticks; emphasis and bullets stay."""
-    t = F.regexp_replace(text, r"(?m)^\s{0,3}#{1,6}\s+", "")
+    t = F.regexp_replace(text, r"(?md)^\s{0,3}#{1,6}\s+", "")
     t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
     return F.replace(t, F.lit("`"), F.lit(""))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
+from voxcorpus.functions.rows import join_on
 
 MEASURES = [
     "mean_length", "std_length", "p25_length", "p50_length", "p75_length", "pronoun_ratio_first", "pronoun_ratio_second",
@@ -87,9 +88,7 @@ def cadence(docs: DataFrame, by: list[str], exact: bool = False) -> DataFrame:
     zeros = {c: 0 for c in ["sentence_count", "word_count"]} | {c: 0.0 for c in MEASURES}
     if not by:
         return got
-    on = [groups[c].eqNullSafe(got[c]) for c in by]
-    joined = groups.join(got, on, "left").select(*[groups[c] for c in by], *[got[c] for c in [*zeros]])
-    return joined.fillna(zeros)
+    return join_on(groups, got, by, "left").fillna(zeros)
 
 
 def sentence_lengths(measured: DataFrame, by: list[str]) -> DataFrame:
@@ -112,13 +111,13 @@ def length_histogram(measured: DataFrame, by: list[str], bins: int = 10, width:
     grid = edges.select(
         *by, "lo0", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    placed = measured.join(edges, by).select(
+    placed = join_on(measured, edges, by).select(
         *by, F.least(F.floor((F.col("n_words") - F.col("lo0")) / step), F.lit(bins - 1)).cast("int").alias("bin")
     )
     counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    full = grid.join(counts, [*by, "bin"], "left").fillna(0, ["n"])
+    full = join_on(grid, counts, [*by, "bin"], "left").fillna(0, ["n"])
     peak = full.groupBy(*by).agg(F.max("n").alias("peak"))
-    return full.join(peak, by).select(
+    return join_on(full, peak, by).select(
         *by,
         "bin",
         (F.col("lo0") + F.col("bin") * F.col("step")).alias("lo"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
-from voxcorpus.functions.rows import beside
+from voxcorpus.functions.rows import beside, join_on
 
 
 def tokens(docs: DataFrame, by: list[str], content: bool = True) -> DataFrame:
@@ -41,10 +41,8 @@ def top_vocabulary(counts: DataFrame, by: list[str], n: int = L.TOP_VOCABULARY)
 def brand_rates(counts: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``brand_rate``, occurrences in a million of the group's tokens."""
     totals = counts.groupBy(*by).agg(F.sum("brand_count").alias("total"))
-    on = [counts[c].eqNullSafe(totals[c]) for c in by]
-    return counts.join(totals, on).select(
-        *[counts[c] for c in by], "token", "brand_count", (F.col("brand_count") * 1e6 / F.col("total")).alias("brand_rate")
-    )
+    joined = join_on(counts, totals, by) if by else beside(counts, totals)
+    return joined.select(*by, "token", "brand_count", (F.col("brand_count") * 1e6 / F.col("total")).alias("brand_rate"))
 
 
 def baseline_from(docs: DataFrame, top: int = L.BASELINE_TOP) -> DataFrame:
@@ -104,13 +102,9 @@ def forbidden_candidates(
     # every group beside the one pool row, then one row for each of its tokens
     wide = beside(groups.select(*by).distinct(), pool) if by else pool
     wide = wide.select(*by, F.explode("pool").alias("p")).select(*by, "p.*")
-    on = [wide["token"] == rates["token"], *[wide[c].eqNullSafe(rates[c]) for c in by]]
     scored = (
-        wide.join(rates, on, "left")
-        .select(
-            *[wide[c] for c in by], wide["token"], F.coalesce(rates["brand_rate"], F.lit(0.0)).alias("brand_rate"),
-            "baseline_rate", F.coalesce(rates["brand_count"], F.lit(0)).alias("brand_count"), "place",
-        )
+        join_on(wide, rates, [*by, "token"], "left")
+        .fillna(0, ["brand_rate", "brand_count"])
         .where(F.col("brand_count") < min_count)
         .withColumn("ratio", F.col("brand_rate") / (F.col("baseline_rate") + 1e-6))
         .withColumn("suppression", F.col("baseline_rate") / (F.col("brand_rate") + 1.0))
@@ -136,15 +130,15 @@ def tfidf(docs: DataFrame, by: list[str], vocabulary: DataFrame | None = None) -
     """
     tf = document_counts(docs, by)
     if vocabulary is not None:
-        tf = tf.join(vocabulary.select(*by, "token"), [*by, "token"], "left_semi")
+        tf = join_on(tf, vocabulary.select(*by, "token"), [*by, "token"])
     n = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(n, by) if by else beside(df, n)
+    idf = join_on(df, n, by) if by else beside(df, n)
     idf = idf.select(*by, "token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = tf.join(idf, [*by, "token"]).select(*by, "doc_seq", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = join_on(tf, idf, [*by, "token"]).select(*by, "doc_seq", "token", (F.col("tf") * F.col("idf")).alias("w"))
     norm = weighted.groupBy(*by, "doc_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (
-        weighted.join(norm, [*by, "doc_seq"])
+        join_on(weighted, norm, [*by, "doc_seq"])
         .groupBy(*by, "token")
         .agg(F.sum(F.col("w") / F.col("norm")).alias("weight"))
     )

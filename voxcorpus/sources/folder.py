@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
-from voxcorpus.functions.html import file_content_udf
+from voxcorpus.functions.html import file_content_column
 
 SUFFIXES = (*L.MARKDOWN_SUFFIXES, *L.HTML_SUFFIXES, *L.TEXT_SUFFIXES)
 
@@ -30,7 +30,7 @@ def documents_of_files(files: DataFrame, path: Column, text: Column) -> DataFram
         F.when(F.col("suffix").isin(*L.MARKDOWN_SUFFIXES), T.markdown_heading(F.col("raw"))).otherwise("").alias("heading"),
         F.when(F.col("suffix").isin(*L.MARKDOWN_SUFFIXES), T.strip_markdown(F.col("raw"))).otherwise(F.col("raw")).alias("body"),
     )
-    html = rows.where(F.col("suffix").isin(*L.HTML_SUFFIXES)).withColumn("c", file_content_udf("raw"))
+    html = rows.where(F.col("suffix").isin(*L.HTML_SUFFIXES)).withColumn("c", file_content_column(F.col("raw")))
     html = html.select("path", F.col("c.title").alias("heading"), F.col("c.text").alias("body"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     out = plain.unionByName(html).withColumn("text", T.normalize_whitespace(F.col("body")))

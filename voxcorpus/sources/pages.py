@@ -28,22 +28,22 @@ def page_documents(pages: DataFrame) -> DataFrame:
     rows = pages.where(F.col("html").isNotNull() & (F.length("html") >= L.MIN_PAGE_CHARS))
     if "status_code" in pages.columns:
         rows = rows.where(F.coalesce("status_code", F.lit(200)) < 400)
-    made = rows.select("page_id", U.path(F.col("url")).alias("path"), H.page_content_udf("html").alias("c"))
+    made = rows.select("page_id", U.path(F.col("url")).alias("path"), H.page_content_column(F.col("html")).alias("c"))
     return made.where(F.col("c.text").isNotNull()).select("page_id", "path", "c.title", "c.text")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, position, link``: the links of each page to pages of its own host that a crawl would
     follow, each at its first position."""
-    found = pages.where(F.col("html").isNotNull()).select(
-        "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("position", "href")
-    )
-    links = found.select(
-        "page_id", "position", U.host(F.col("url")).alias("host"), U.resolve(F.col("href"), F.col("url")).alias("link")
-    )
-    kept = links.where(
-        (F.col("link") != "") & (U.host(F.col("link")) == F.col("host")) & ~U.should_skip(U.path(F.col("link")))
+    base = pages.where(F.col("html").isNotNull()).select("page_id", "url", U.host(F.col("url")).alias("host"), "html")
+    found = base.select(
+        "page_id", "url", "host", F.posexplode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("position", "href")
     )
+    # exploding one link keeps the expression that resolves it from being repeated wherever the link is used
+    link = F.explode(F.array(U.resolve(F.col("href"), F.col("url"))))
+    links = found.select("page_id", "position", "host", link.alias("link"))
+    own = (F.col("link") != "") & (U.host(F.col("link")) == F.col("host"))
+    kept = links.where(own & ~U.should_skip(U.path(F.col("link"))))
     return kept.groupBy("page_id", "link").agg(F.min("position").alias("position")).select("page_id", "position", "link")
 
 
