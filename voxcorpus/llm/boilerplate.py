@@ -59,7 +59,8 @@ def _line_keys(line: Column, brand: Column) -> tuple[Column, Column]:
         return F.when(F.length(brand) >= 4, F.replace(l, brand, F.lit("§"))).otherwise(l)
 
     whole = masked(line)
-    prefix = masked(F.regexp_extract(line, _PREFIX, 1))
+    colon = line.contains(":") | line.contains("：")
+    prefix = F.when(colon, masked(F.regexp_extract(line, _PREFIX, 1))).otherwise("")
     return (
         F.when(whole != "", F.xxhash64(whole)),
         F.when(prefix != "", F.xxhash64(F.lit("prefix"), prefix)),
@@ -67,15 +68,15 @@ def _line_keys(line: Column, brand: Column) -> tuple[Column, Column]:
 
 
 def page_keys(documents: DataFrame) -> DataFrame:
-    """``corpus_id, doc_seq, site, h``: the distinct hashes of each page of a website."""
+    """``site, page, h``: the distinct hashes of each page of a website, site and page as hashes too."""
     lines = web_pages(documents).select(
-        *KEY,
-        website(F.col("path")).alias("site"),
+        F.xxhash64(*KEY).alias("page"),
+        website(F.col("path")).alias("name"),
         F.explode(F.split("text", "\n")).alias("line"),
     )
-    whole, prefix = _line_keys(F.col("line"), _brand(F.col("site")))
+    whole, prefix = _line_keys(F.col("line"), _brand(F.col("name")))
     return (
-        lines.select(*KEY, "site", F.explode(F.array(whole, prefix)).alias("h"))
+        lines.select(F.xxhash64("name").alias("site"), "page", F.explode(F.array(whole, prefix)).alias("h"))
         .where(F.col("h").isNotNull())
         .distinct()
     )
@@ -86,9 +87,9 @@ def repetition(documents: DataFrame) -> DataFrame:
 
     Of a site with few pages the shares are drawn to those over all sites.
     """
-    keys = page_keys(documents)
-    by_site = keys.groupBy("site", "h").agg(F.count(F.lit(1)).alias("df"))
-    pages = web_pages(documents).where(F.col("text").isNotNull()).select(*KEY, website(F.col("path")).alias("site"))
+    by_site = page_keys(documents).groupBy("site", "h").agg(F.count(F.lit(1)).alias("df"))
+    pages = web_pages(documents).where(F.col("text").isNotNull())
+    pages = pages.select(F.xxhash64(website(F.col("path"))).alias("site"), F.xxhash64(*KEY).alias("page"))
     pages = pages.distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     counted = by_site.join(pages, "site")
     overall = counted.groupBy("h").agg(
@@ -127,10 +128,14 @@ class Page:
         if now:
             self.sections.append(now)
         self.density = [self._density(i) for i in range(len(lines))]
+        self.breaks = [len(_SENTENCE.findall(x)) for x in self.lines]
+        self.paragraphs = [self._paragraph(i) for i in range(len(lines))]
 
     def _row_of_links(self, i: int) -> bool:
         """Several short pieces between separators, without a sentence's end."""
         x = self.lines[i]
+        if not _SEPARATED.search(x):
+            return False
         pieces = [p for p in re.split(r"\s[|/·•→›»>]\s", x) if p.strip()]
         return len(pieces) >= 3 and max(map(len, pieces)) < 90 or len(pieces) >= 2 and bool(
             self.title and re.sub(r"\W+", "", pieces[-1].casefold()) == self.title
@@ -144,16 +149,21 @@ class Page:
     def points(self, i: int) -> float:
         """Points a line passes on to its section: in full if it is a paragraph, a tenth if it is not."""
         x = self.lines[i]
+        if self.density[i] >= DENSE:
+            return 0.0
         whole = 1 + len(_COMMA.findall(x)) + min(3.0, len(x) / 100)
         return (whole if self.paragraph(i) else whole / 10) * (1 - min(1.0, self.density[i] / DENSE))
 
     def paragraph(self, i: int) -> bool:
+        return self.paragraphs[i]
+
+    def _paragraph(self, i: int) -> bool:
         """Running text of its own: more than one sentence that does not come back on the site; not
         somebody's comment ("Name: ...") or a teaser cut short."""
         x = self.lines[i]
-        if self.share[i] >= 0.2 or _CUT.search(x) or _BULLET.match(x) or _COMMENT.match(x):
+        if not self.breaks[i] or self.share[i] >= 0.2 or _CUT.search(x) or _BULLET.match(x) or _COMMENT.match(x):
             return False
-        return len(_SENTENCE.findall(x)) >= 1
+        return True
 
     def dense(self, section: list[int]) -> bool:
         """A section of links: no paragraph, not the page's title, and most of its lines are links; of one
@@ -237,20 +247,27 @@ def _pages_with_shares(documents: DataFrame) -> DataFrame:
 
     The join is salted: a third of all pages may be of one site.
     """
-    site = website(F.col("path"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     shares = repetition(documents).withColumn("salt", salts)
-    pages = web_pages(documents).where(F.col("text").isNotNull()).select(
-        *KEY, "text", "title", site.alias("site"), F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt")
+    brand = _brand(website(F.col("path")))
+    pages = (
+        web_pages(documents)
+        .where(F.col("text").isNotNull())
+        .select(
+            *KEY,
+            "text",
+            "title",
+            F.transform(F.split("text", "\n"), lambda x: F.struct(*_line_keys(x, brand))).alias("keys"),
+            F.xxhash64(website(F.col("path"))).alias("site"),
+            F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt"),
+        )
     )
-    brand = _brand(F.col("site"))
-    split = F.split("text", "\n")
     return pages.join(shares, ["site", "salt"], "left").select(
         *KEY,
         "text",
         "title",
-        F.transform(split, lambda x: _line_keys(x, brand)[0]).alias("hashes"),
-        F.transform(split, lambda x: _line_keys(x, brand)[1]).alias("prefixes"),
+        F.col("keys").getField("col1").alias("hashes"),
+        F.col("keys").getField("col2").alias("prefixes"),
         F.col("shares.h").alias("known"),
         F.col("shares.share").alias("share"),
     )
