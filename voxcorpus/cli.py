@@ -8,7 +8,7 @@ import sys
 import time
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from voxcorpus.operators.cadence import total_words
 from voxcorpus.operators.vocabulary import baseline_from
@@ -63,6 +63,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         name, source = o.brand_name or folder.name, f"folder:{folder.name}"
         docs = read_folder(spark, str(folder))
     docs = docs.persist()
+    try:
+        return measure(spark, o, docs, name, source, began)
+    finally:
+        docs.unpersist()
+
+
+def measure(spark: SparkSession, o: argparse.Namespace, docs: DataFrame, name: str, source: str, began: float) -> int:
+    """Measures documents, writes the files and prints the summary."""
     n = docs.count()
     if not n:
         print("no documents", file=sys.stderr)
