@@ -221,7 +221,8 @@ class Page:
         for k, i in enumerate(inside):
             if k == 0 and not self._row_of_links(i):
                 continue  # the title
-            if k == 1 and not self.paragraph(inside[0]) and self.share[i] < 0.75 and not self._row_of_links(i):
+            titled = bool(self.title) and self._bare(inside[0]) == self.title
+            if k == 1 and not self.paragraph(inside[0]) and (titled or self.share[i] < 0.75) and not self._row_of_links(i):
                 continue  # the byline
             before = k > 0 and inside[k - 1] in out
             last = k >= len(inside) - 2  # a closing sentence and the note on the series

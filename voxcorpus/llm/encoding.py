@@ -19,7 +19,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import flat_map
+from voxcorpus.llm.common import flat_map, join_on
 
 #: Right encoding and wrong decoder.
 CHAINS: tuple[tuple[str, str], ...] = (
@@ -290,7 +290,8 @@ def repair(text: str, known: dict[str, tuple[str, str]]) -> str:
 
 def restored_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, text, restored, chains``: each garbled document, with its text as far as it could be
-    restored; ``restored`` is false if a replacement character or C1 control is left."""
+    restored; ``restored`` is false if a replacement character or C1 control is left. A document that
+    stands there twice appears once."""
     known = (
         garbled_tokens(documents)
         .groupBy("doc_id")
@@ -299,7 +300,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
             F.array_sort(F.collect_set("chain")).alias("chains"),
         )
     )
-    rows = documents.select("doc_id", "text").join(known, "doc_id")
+    rows = join_on(documents.select("doc_id", "text").distinct(), known, ["doc_id"])
 
     def make():
         def one(doc, text, known, chains):

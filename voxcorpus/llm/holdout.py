@@ -16,6 +16,19 @@ SEED_PROSE = [
     "los campos, que en esa época del año son de un verde muy claro.",
     "Мы долго искали дорогу к озеру, потому что карта была старая. Потом встретили рыбака, и он показал нам тропу. "
     "Вода была холодная, но никто не хотел уходить.",
+    "奶奶的院子里有一棵老树。每年秋天我们都去摘果子，然后坐在门口慢慢地吃。后来那棵树被风吹倒了，大家都很难过。",
+    "村の小さな駅には、もう電車が来ない。それでも朝になると、老人が一人でベンチに座る。誰を待っているのかは、だれも知らない。",
+    "บ้านของยายอยู่ใกล้แม่น้ำ ทุกเช้าเราเดินไปตลาดด้วยกัน แล้วกลับมาทำกับข้าวก่อนที่แดดจะร้อน ฉันยังจำกลิ่นของครัวได้",
+    "Το καράβι έφυγε πριν από την ώρα του και μείναμε στο λιμάνι. Δεν μας πείραξε, γιατί η μέρα ήταν ωραία και είχαμε ψωμί "
+    "και ελιές. Το βράδυ μας πήρε ένας ψαράς με τη βάρκα του.",
+    "गाँव का स्कूल नदी के उस पार है और बच्चे हर रोज़ नाव से जाते हैं। जब पानी बढ़ता है तो छुट्टी हो जाती है। "
+    "तब वे घर में बैठकर कहानियाँ सुनते हैं।",
+    "كان جدي يزرع الليمون في حديقة صغيرة خلف البيت. في كل صباح كان يسقي الأشجار ثم يجلس على الكرسي ويقرأ. "
+    "لا أحد يعرف من أين جاء بتلك البذور.",
+    "Quando a chuva parou, fomos ver o jardim. As flores estavam no chão e a mesa tinha caído, mas o limoeiro não perdeu "
+    "uma folha. A minha avó riu e disse que ele é teimoso como ela.",
+    "so then we took the bus because the car would not start and it was already late and my cousin had to be at work by "
+    "eight. he was not happy about it. i told him that it was not my fault.",
 ]
 
 HOLDOUT: list[tuple[str, int]] = [

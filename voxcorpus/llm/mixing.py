@@ -225,8 +225,9 @@ def mix(documents: DataFrame, targets: DataFrame, steps: int = STEPS) -> tuple[D
     actual_share, reachable``. tokens: of the documents that carry the source;
     expected_tokens: with the memberships of unlabelled ones; a source is reachable if
     its own tokens times max_repeats are at least its share of the tokens of all rows.
-    No documents: every share is 0, and a source with a positive share is... of nothing,
-    so reachable. Null token counts count 0, null sources are classified.
+    Without documents all tokens and shares are 0 and every source reaches its share of nothing.
+    Null token counts count 0, null and empty sources are classified by their text, sources without
+    a target count to the whole but not to the mix; a target named twice is one with the sum of its shares.
     """
     spark = documents.sparkSession
     want = read_targets(targets)

@@ -25,6 +25,8 @@ from voxcorpus.llm.trees import Trees
 
 #: Rows under notes/ the trees are trained on, at most.
 TRAIN_TEXTS = 1_000
+#: With fewer prose texts than this the built-in ones are added.
+LEAST_TEXTS = 150
 JUNK = 0.5
 
 #: Some of the commonest words of several languages.
@@ -124,6 +126,10 @@ def shapes_of_prose(text: str, rng: random.Random) -> Iterator[str]:
     flat = " ".join(text.split())
     units = [u for u in re.split(r"(?<=[.!?…])\s+", flat) if u]
     kind = rng.randrange(7)
+    if len(units) > 3 and rng.random() < 0.5:
+        begin = rng.randrange(len(units) - 2)
+        units = units[begin : begin + rng.randrange(2, len(units))]
+        flat = " ".join(units)
     bare = [re.sub(r"[.!?…]+$", "", u).lower() for u in units]
     words = flat.split()
     if kind == 0:
@@ -213,7 +219,11 @@ def training_set(prose: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarra
 
 def fit(prose: list[str]) -> Trees:
     """Trees trained on the weak labels, calibrated on the hand-checked texts."""
-    x, y = training_set([t for t in prose if t and t.strip()] or SEED_PROSE)
+    prose = [t for t in prose if t and t.strip()]
+    if len(prose) < LEAST_TEXTS:  # the built-in texts too, all of them in several shapes
+        prose = prose + SEED_PROSE
+        prose *= -(-LEAST_TEXTS // len(prose))
+    x, y = training_set(prose)
     trees = Trees(rounds=60).fit(x, y)
     held = np.array([statistics(t) for t, _ in HOLDOUT])
     return trees.calibrate(held, np.array([float(label) for _, label in HOLDOUT]))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import KEY, web_pages, website
+from voxcorpus.llm.common import KEY, join_on, web_pages, website
 
 LEAST_DOCUMENTS = 6
 SALTS = 16
@@ -40,7 +40,7 @@ def hashed_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def frequent_hashes(lines: DataFrame, least: int = LEAST_DOCUMENTS, share: float = 0.0) -> DataFrame:
+def frequent_hashes(lines: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``h, documents`` of the hashes in at least ``least`` documents of a site."""
     return (
         lines.select("h", *KEY)
@@ -75,12 +75,12 @@ def without_repeated_lines(documents: DataFrame, least: int = LEAST_DOCUMENTS) -
         .agg(F.collect_set("line_no").alias("drop"))
     )
     pages = web_pages(documents).where(F.col("text").isNotNull())
-    once = pages.groupBy(*KEY).agg(F.min_by("text", F.col("loaded_at")).alias("text"))
+    once = pages.groupBy(*KEY).agg(F.min_by("text", F.struct(F.col("loaded_at").isNull(), "loaded_at", "text")).alias("text"))
     kept = F.filter(
         F.split("text", "\n"),
         lambda line, i: ~F.array_contains(F.coalesce("drop", F.array().cast("array<int>")), i + 1),
     )
-    return once.join(drop, KEY, "left").select(
+    return join_on(once, drop, KEY, "left").select(
         *KEY,
         F.array_join(kept, "\n").alias("text"),
         F.coalesce(F.size("drop"), F.lit(0)).alias("removed"),
