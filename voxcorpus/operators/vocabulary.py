@@ -136,6 +136,7 @@ def tfidf(docs: DataFrame, by: list[str], vocabulary: DataFrame | None = None) -
     idf = join_on(df, n, by) if by else beside(df, n)
     idf = idf.select(*by, "token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weighted = join_on(tf, idf, [*by, "token"]).select(*by, "doc_seq", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    # the frequencies come back once for the norms and once for the sums
     norm = weighted.groupBy(*by, "doc_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (
         join_on(weighted, norm, [*by, "doc_seq"])

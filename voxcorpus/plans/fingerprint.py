@@ -25,7 +25,7 @@ def sketch(docs: DataFrame, baseline: DataFrame) -> DataFrame:
     words, most frequent words. For any number of corpora at once; clusters and exemplars, which
     need an embedder, are in ``fingerprint``."""
     docs = docs.where(F.col("corpus_id").isNotNull())
-    counts = W.token_counts(docs, BY)
+    counts = W.token_counts(docs, BY).persist()  # read by four of the parts, small against the texts
     rates = W.brand_rates(counts, BY)
     signature = W.signature_words(rates, baseline, BY)
     avoided = W.forbidden_candidates(rates, baseline, docs, BY)

@@ -40,6 +40,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
+def _counts(docs: DataFrame) -> DataFrame:
+    """Token counts, kept: the rates read them twice, and they are small against the texts."""
+    return W.token_counts(docs, BY).persist()
+
+
 def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -119,7 +124,7 @@ def top_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TOKENS + " SELECT corpus_id, token, brand_count, round(brand_rate, 6) AS brand_rate FROM rates")
 def brand_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(W.brand_rates(W.token_counts(corpus(spark, d), BY), BY), "brand_rate")
+    return rounded(W.brand_rates(_counts(corpus(spark, d)), BY), "brand_rate")
 
 
 @query(_TOKENS + """, base AS (SELECT token, count(*) AS cnt FROM content GROUP BY token), ranked AS (
@@ -143,7 +148,7 @@ FROM ranked WHERE rank <= 25"""
 
 @query(_SIGNATURE)
 def signature_words(spark: SparkSession, d: str) -> DataFrame:
-    rates = W.brand_rates(W.token_counts(corpus(spark, d), BY), BY)
+    rates = W.brand_rates(_counts(corpus(spark, d)), BY)
     return rounded(W.signature_words(rates, baseline(spark, d), BY), "brand_rate", "baseline_rate", "ratio")
 
 
@@ -163,7 +168,7 @@ SELECT corpus_id, token, round(brand_rate, 6) AS brand_rate, round(baseline_rate
        round(suppression, 6) AS suppression, brand_count, rank FROM ranked WHERE rank <= 25""")
 def forbidden_candidates(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
-    rates = W.brand_rates(W.token_counts(docs, BY), BY)
+    rates = W.brand_rates(_counts(docs), BY)
     out = W.forbidden_candidates(rates, baseline(spark, d), docs, BY)
     return rounded(out, "brand_rate", "baseline_rate", "ratio", "suppression")
 
@@ -181,6 +186,7 @@ norm AS (SELECT corpus_id, doc_seq, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL
 SELECT corpus_id, token, round(sum(w / norm), 6) AS weight FROM w JOIN norm USING (corpus_id, doc_seq) GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
+    docs = docs.persist()  # read for the vocabulary, for the number of documents and for the weights
     vocab = W.cluster_vocabulary(W.token_counts(docs, BY))
     return rounded(W.tfidf(docs, BY, vocab), "weight")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT = "corpus_id string, doc_seq int, path string, title string, text string"
@@ -14,17 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def first_delivery(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row for each key, the one delivered first; null keys are a key of their own."""
-    rest = [c for c in df.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.col(order), *[F.col(c) for c in rest]))
-    return df.groupBy(*key).agg(first.alias("_r")).select(*key, "_r.*")
+def first_delivery(df: DataFrame, key: list[str], order: str, tie: list[str] | None = None) -> DataFrame:
+    """One row for each key, the one delivered first; null keys are a key of their own, undated rows come
+    last. Of deliveries at the same time the one counts that is least by ``tie``.
+
+    One exchange and one sort by the key. A row is first if none precedes it (a rank instead of the
+    lag would sort all rows before the exchange too). Columns that a plan does not use are not read.
+    """
+    w = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie or []])
+    return df.withColumn("_before", F.lag(F.lit(1)).over(w)).where(F.col("_before").isNull()).drop("_before")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``corpus_id, doc_seq, path, title, text`` of documents_in; rows delivered twice count once."""
     rows = table(spark, sf_dir, "documents_in").select("corpus_id", "doc_seq", "path", "title", "text", "loaded_at")
-    return first_delivery(rows, ["corpus_id", "doc_seq"], "loaded_at").drop("loaded_at")
+    return first_delivery(rows, ["corpus_id", "doc_seq"], "loaded_at", ["text"]).drop("loaded_at")
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
