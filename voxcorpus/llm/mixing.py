@@ -29,7 +29,7 @@ TRAIN_ROWS = 50_000
 BUCKETS = 1 << 13
 STEPS = 24
 #: Most domains a mix may have; the broadcast model holds DOMAINS x BUCKETS numbers at most.
-DOMAINS = 4_096
+DOMAINS = 1_024
 OTHER = "\x00other"
 
 
