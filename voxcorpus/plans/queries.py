@@ -186,7 +186,6 @@ norm AS (SELECT corpus_id, doc_seq, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL
 SELECT corpus_id, token, round(sum(w / norm), 6) AS weight FROM w JOIN norm USING (corpus_id, doc_seq) GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
-    docs = docs.persist()  # read for the vocabulary, for the number of documents and for the weights
     vocab = W.cluster_vocabulary(W.token_counts(docs, BY))
     return rounded(W.tfidf(docs, BY, vocab), "weight")
 
