@@ -46,40 +46,32 @@ _CUT = re.compile(r"…\s*»?[.!]?$")
 
 
 def _brand(site: Column) -> Column:
-    """Letters of the label before the last dot of a host."""
-    label = F.element_at(F.split(site, r"\."), -2)
-    return F.regexp_replace(F.coalesce(label, F.lit("")), r"[^\p{L}]+", "")
+    """Letters of the label before the last dot of a host; a character no text has if they are under four."""
+    label = F.regexp_replace(F.coalesce(F.element_at(F.split(site, r"\."), -2), F.lit("")), r"[^\p{L}]+", "")
+    return F.when(F.length(label) >= 4, label).otherwise("\x00")
 
 
-def _line_keys(line: Column, brand: Column) -> tuple[Column, Column]:
-    """Hashes of a line and of what stands before its first colon; null where there is none."""
+def _prefix_letters(line: Column) -> Column:
+    """Letters of what stands before the first colon of a line, "" without one."""
+    colon = line.contains(":") | line.contains("：")
+    return F.when(colon, letters(F.regexp_extract(line, _PREFIX, 1))).otherwise("")
 
-    def masked(c: Column) -> Column:
-        l = letters(c)
-        return F.when(F.length(brand) >= 4, F.replace(l, brand, F.lit("§"))).otherwise(l)
 
-    whole = masked(line)
-    colon = line.contains(":") | line.contains("：")
-    prefix = F.when(colon, masked(F.regexp_extract(line, _PREFIX, 1))).otherwise("")
-    return (
-        F.when(whole != "", F.xxhash64(whole)),
-        F.when(prefix != "", F.xxhash64(F.lit("prefix"), prefix)),
-    )
+def _hash(found: Column, brand: Column, *kind: str) -> Column:
+    """Hash of letters with the site's own name masked; null for none."""
+    return F.when(found != "", F.xxhash64(*map(F.lit, kind), F.replace(found, brand, F.lit("§"))))
 
 
 def page_keys(documents: DataFrame) -> DataFrame:
     """``site, page, h``: the distinct hashes of each page of a website, site and page as hashes too."""
-    lines = web_pages(documents).select(
-        F.xxhash64(*KEY).alias("page"),
-        website(F.col("path")).alias("name"),
-        F.explode(F.split("text", "\n")).alias("line"),
-    )
-    whole, prefix = _line_keys(F.col("line"), _brand(F.col("name")))
-    return (
-        lines.select(F.xxhash64("name").alias("site"), "page", F.explode(F.array(whole, prefix)).alias("h"))
-        .where(F.col("h").isNotNull())
-        .distinct()
+    pages = web_pages(documents).select(F.xxhash64(*KEY).alias("page"), website(F.col("path")).alias("name"), "text")
+    named = pages.select("page", F.xxhash64("name").alias("site"), _brand(F.col("name")).alias("brand"), "text")
+    lines = named.select("page", "site", "brand", F.explode(F.split("text", "\n")).alias("line"))
+    found = lines.select(
+        "page", "site", "brand", letters(F.col("line")).alias("whole"), _prefix_letters(F.col("line")).alias("prefix")
     )
+    both = F.array(_hash(F.col("whole"), F.col("brand")), _hash(F.col("prefix"), F.col("brand"), "prefix"))
+    return found.select("site", "page", F.explode(both).alias("h")).where(F.col("h").isNotNull()).distinct()
 
 
 def repetition(documents: DataFrame) -> DataFrame:
@@ -250,25 +242,43 @@ def _pages_with_shares(documents: DataFrame) -> DataFrame:
     """
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     shares = repetition(documents).withColumn("salt", salts)
-    brand = _brand(website(F.col("path")))
-    pages = (
+    named = (
         web_pages(documents)
         .where(F.col("text").isNotNull())
         .select(
             *KEY,
             "text",
             "title",
-            F.transform(F.split("text", "\n"), lambda x: F.struct(*_line_keys(x, brand))).alias("keys"),
-            F.xxhash64(website(F.col("path"))).alias("site"),
+            website(F.col("path")).alias("name"),
+            F.split("text", "\n").alias("lines"),
             F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )
+    found = named.select(
+        *KEY,
+        "text",
+        "title",
+        "salt",
+        F.xxhash64("name").alias("site"),
+        _brand(F.col("name")).alias("brand"),
+        F.transform("lines", letters).alias("wholes"),
+        F.transform("lines", _prefix_letters).alias("befores"),
+    )
+    pages = found.select(
+        *KEY,
+        "text",
+        "title",
+        "salt",
+        "site",
+        F.transform("wholes", lambda x: _hash(x, F.col("brand"))).alias("hashes"),
+        F.transform("befores", lambda x: _hash(x, F.col("brand"), "prefix")).alias("prefixes"),
+    )
     return pages.join(shares, ["site", "salt"], "left").select(
         *KEY,
         "text",
         "title",
-        F.col("keys").getField("col1").alias("hashes"),
-        F.col("keys").getField("col2").alias("prefixes"),
+        "hashes",
+        "prefixes",
         F.col("shares.h").alias("known"),
         F.col("shares.share").alias("share"),
     )
