@@ -120,7 +120,7 @@ class Page:
         if now:
             self.sections.append(now)
         self.density = [self._density(i) for i in range(len(lines))]
-        self.breaks = [len(_SENTENCE.findall(x)) for x in self.lines]
+        self.breaks = [0 if s >= 0.2 else len(_SENTENCE.findall(x)) for s, x in zip(share, self.lines)]
         self.paragraphs = [self._paragraph(i) for i in range(len(lines))]
 
     def _row_of_links(self, i: int) -> bool:
@@ -136,7 +136,9 @@ class Page:
     def _density(self, i: int) -> float:
         if not self.lines[i]:
             return 0.0
-        return 1.0 if self._row_of_links(i) else min(1.0, self.share[i])
+        if self.share[i] >= FRAME:
+            return min(1.0, self.share[i])
+        return 1.0 if self._row_of_links(i) else self.share[i]
 
     def points(self, i: int) -> float:
         """Points a line passes on to its section: in full if it is a paragraph, a tenth if it is not."""
