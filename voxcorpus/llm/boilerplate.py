@@ -230,8 +230,8 @@ class Page:
 def frame_lines(text: str, title: str | None, hashes: list, prefixes: list, shares: dict[int, float]) -> list[int]:
     """Numbers (from 1) of the visible lines that are not of the body."""
     lines = text.split("\n")
-    share = [shares.get(h, 0.0) if h is not None else 0.0 for h in hashes]
-    prefix = [shares.get(h, 0.0) if h is not None else 0.0 for h in prefixes]
+    known = lambda hs: [shares.get(h, 0.0) if h is not None else 0.0 for h in hs] + [0.0] * (len(lines) - len(hs))
+    share, prefix = known(hashes), known(prefixes)
     page = Page(lines, share, prefix, title)
     body = page.body()
     return [i + 1 for i, x in enumerate(page.lines) if x and i not in body]
