@@ -100,24 +100,23 @@ def sentence_lengths(measured: DataFrame, by: list[str]) -> DataFrame:
 def length_histogram(measured: DataFrame, by: list[str], bins: int = 10, width: int = 40) -> DataFrame:
     """``*by, bin, lo, hi, n, bar``: equal bins between the extremes, the last one closed; a group of one
     length is widened by a half on both sides."""
-    edges = measured.groupBy(*by).agg(F.min("n_words").alias("a"), F.max("n_words").alias("b"))
-    same = F.col("a") == F.col("b")
-    edges = edges.select(
-        *by,
-        F.when(same, F.col("a") - 0.5).otherwise(F.col("a").cast("double")).alias("lo0"),
-        F.when(same, F.col("b") + 0.5).otherwise(F.col("b").cast("double")).alias("hi0"),
-    )
-    step = (F.col("hi0") - F.col("lo0")) / bins
-    grid = edges.select(
-        *by, "lo0", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
-    placed = join_on(measured, edges, by).select(
-        *by, F.least(F.floor((F.col("n_words") - F.col("lo0")) / step), F.lit(bins - 1)).cast("int").alias("bin")
+    # one row for each length of a group, then one for each group: as many entries as there are lengths
+    counted = measured.groupBy(*by, "n_words").agg(F.count(F.lit(1)).alias("n"))
+    packed = counted.groupBy(*by).agg(F.collect_list(F.struct("n_words", "n")).alias("h"))
+    ends = packed.select(*by, "h", F.transform("h", lambda x: x["n_words"].cast("double")).alias("ls")).select(
+        *by, "h", F.array_min("ls").alias("a"), F.array_max("ls").alias("b")
     )
-    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    full = join_on(grid, counts, [*by, "bin"], "left").fillna(0, ["n"])
-    peak = full.groupBy(*by).agg(F.max("n").alias("peak"))
-    return join_on(full, peak, by).select(
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    wide = ends.select(*by, "h", (F.col("a") - half).alias("lo0"), (F.col("b") + half).alias("hi0"))
+    wide = wide.withColumn("step", (F.col("hi0") - F.col("lo0")) / bins)
+
+    def filled(k: Column) -> Column:
+        bin_of = lambda x: F.least(F.floor((x["n_words"] - F.col("lo0")) / F.col("step")), F.lit(bins - 1))
+        return F.aggregate(F.filter("h", lambda x: bin_of(x) == k), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+
+    full = wide.withColumn("ns", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), filled))
+    rows = full.select(*by, "lo0", "step", F.array_max("ns").alias("peak"), F.posexplode("ns").alias("bin", "n"))
+    return rows.select(
         *by,
         "bin",
         (F.col("lo0") + F.col("bin") * F.col("step")).alias("lo"),
