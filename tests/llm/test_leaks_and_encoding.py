@@ -110,3 +110,13 @@ def test_found_and_restored(spark):
     right = sum(back[k]["text"] == t for k, t in lossless.items())
     assert right >= 0.8 * len(lossless)
     assert E.garbled_documents(df.where("false")).count() == 0
+
+
+def test_a_garbled_text_in_many_copies(spark):
+    bad = E.garble("Привет читателям", "cp1251", "latin-1")
+    rows = [(1, "Привет читателям", 0, ""), (2, "Привет! Ещё одно слово", 0, "")] + [(10 + k, bad, 0, "") for k in range(9)]
+    rows += [(30 + k, f"{bad.split()[0]} {k}", 0, "") for k in range(4)]  # garbled in more texts than clean
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in E.garbled_documents(df).collect()} == {r[0] for r in rows[2:]}
+    back = {r["doc_id"]: r["text"] for r in E.restored_documents(df).collect()}
+    assert back[10] == "Привет читателям" and back[30] == "Привет 0"

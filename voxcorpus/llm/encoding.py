@@ -79,6 +79,8 @@ TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 WIDE = ("utf-8", "shift_jis", "cp932", "gbk", "big5", "euc_kr")
 SALTS = 16
 LONG_RUN = 12
+#: Up to this difference in ``accents`` two words look about alike.
+ALIKE = 0.5
 
 WORD, PART, PAIR = 0, 1, 2
 
@@ -187,28 +189,46 @@ def accents(word: str) -> float:
     odd = sum(1 for c in word if not c.isalpha())
     latin = sum(1 for c in word if "\xc0" <= c <= "ɏ")
     upper = sum(1 for a, b in zip(word, word[1:]) if a.islower() and b.isupper())
-    return (odd * 2 + latin + upper) / max(1, len(word))
+    scripts = [c < "ɐ" for c in word if c.isalpha()]
+    mixed = sum(1 for a, b in zip(scripts, scripts[1:]) if a != b)
+    lost = len(_LOST.findall(word))
+    return (odd * 2 + latin + upper + mixed * 2 + lost) / max(1, len(word))
+
+
+def strangeness(form: str, original: str) -> float:
+    """By how much a garbled form looks the stranger; one of a repeated mark or two ("───") never does."""
+    more = accents(form) - accents(original)
+    return more if len(set(form)) > 2 or any(c.isalpha() for c in form) else min(more, 0.0)
+
+
+def beyond_ascii(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+def corpus_words(documents: DataFrame) -> DataFrame:
+    """``token, kind, texts``: in how many distinct texts a token stands; copies of a text count once."""
+    texts = beyond_ascii(documents).select("text").distinct()
+    found = flat_map(texts, lambda: tokens, "token string, kind int")
+    return found.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("texts"))
 
 
 def corpus_tokens(documents: DataFrame) -> DataFrame:
     """``doc_id, token, kind``, each once a document."""
-    rows = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text")
     return flat_map(
-        rows,
+        beyond_ascii(documents).select("doc_id", "text"),
         lambda: lambda doc, text: ((doc, t, k) for t, k in tokens(text)),
         "doc_id bigint, token string, kind int",
     )
 
 
-def garbled_words(found: DataFrame) -> DataFrame:
+def garbled_words(words: DataFrame) -> DataFrame:
     """``token, kind, original, chain``: the garbled words of the corpus with their verified originals.
 
     A form longer or shorter than its original is too particular to be chance; a form of
-    the same length must be of three letters and stand in fewer documents than its original,
-    or look the stranger of the two where they are as frequent. Of several originals the
-    one in most documents is taken.
+    the same length must be of three letters and look the stranger of the two, however often
+    it stands. Only where both look about alike (``ALIKE``) must it stand in fewer distinct
+    texts than its original. Of several originals the one in most texts is taken.
     """
-    words = found.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("documents"))
 
     def make():
         def one(token: str, kind: int, n: int):
@@ -223,23 +243,23 @@ def garbled_words(found: DataFrame) -> DataFrame:
                         continue
                     if kind == PAIR and len(form) < 3:
                         continue
-                    yield form, kind, token, chain, n, accents(form) > accents(token), same
+                    yield form, kind, token, chain, n, strangeness(form, token), same
 
         return one
 
     made = flat_map(
         words,
         make,
-        "token string, kind int, original string, chain string, o_documents bigint, stranger boolean, same boolean",
+        "token string, kind int, original string, chain string, o_texts bigint, stranger double, same boolean",
     )
-    often = F.col("o_documents") > F.col("documents")
-    tie = (F.col("o_documents") == F.col("documents")) & F.col("stranger")
+    stranger = F.col("stranger") > 0
+    often = (F.col("stranger") >= -ALIKE) & (F.col("o_texts") > F.col("texts"))
     lossy = F.col("token").contains("�")
     return (
         made.join(words, ["token", "kind"])
-        .where(~F.col("same") | often | tie | lossy)
+        .where(~F.col("same") | stranger | often | lossy)
         .groupBy("token", "kind")
-        .agg(F.max(F.struct("o_documents", "original", "chain")).alias("best"))
+        .agg(F.max(F.struct("o_texts", "original", "chain")).alias("best"))
         .select("token", "kind", "best.original", "best.chain")
     )
 
@@ -248,7 +268,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     """``doc_id, token, kind, original, chain`` of each garbled word of each document."""
     found = corpus_tokens(documents)
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    bad = garbled_words(found).withColumn("salt", salts)
+    bad = garbled_words(corpus_words(documents)).withColumn("salt", salts)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return salted.join(bad, ["token", "kind", "salt"]).drop("salt")
 
