@@ -120,3 +120,26 @@ def test_a_garbled_text_in_many_copies(spark):
     assert {r["doc_id"] for r in E.garbled_documents(df).collect()} == {r[0] for r in rows[2:]}
     back = {r["doc_id"]: r["text"] for r in E.restored_documents(df).collect()}
     assert back[10] == "Привет читателям" and back[30] == "Привет 0"
+
+
+SHORT = [
+    ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("utf-8", "koi8-r"), ("utf-8", "cp866"),
+    ("utf-8", "gbk"), ("utf-8", "shift_jis"), ("euc_jp", "latin-1"), ("euc_kr", "cp1252"),
+]
+
+
+def test_short_pieces_and_long_words(spark):
+    clean = "東京都の天気はとても良いです"
+    rows, want = [(1, clean, 0, ""), (2, "Straßen" + "öäü" * 30, 0, ""), (3, "x" + "äöü" * 8 + "y", 0, ""), (4, "한국 ไทยแลนด์ Привет", 0, "")], set()
+    for k, (right, wrong) in enumerate(SHORT, 10):
+        for n, term in enumerate(("東京", "東京都", clean)):
+            if bad := E.garble(term, right, wrong):
+                rows.append((k * 10 + n, f"Plain words about {bad} and more.", 0, ""))
+                want.add(k * 10 + n)
+    for k, (text, wrong) in enumerate([(rows[1][1], "cp1252"), ("z" + "äöü" * 8 + "w", "cp1252"), ("ไทย", "cp1252"), ("Привет", "gbk")], 900):
+        rows.append((k, "Words " + E.garble(text, "utf-8", wrong), 0, ""))
+        want.add(k)
+    rows.append((950, "on " + E.garble(E.garble("東京", "utf-8", "cp1252"), "utf-8", "cp1252"), 0, ""))
+    want.add(950)
+    got = {r["doc_id"] for r in E.garbled_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want

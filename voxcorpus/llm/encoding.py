@@ -13,6 +13,7 @@ that stands in the corpus in its garbled form only is found by its accents.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 import re
 import unicodedata
 
@@ -79,6 +80,7 @@ TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 WIDE = ("utf-8", "shift_jis", "cp932", "gbk", "big5", "euc_kr")
 SALTS = 16
 LONG_RUN = 12
+KEPT_LENGTH = 24
 #: Up to this difference in ``accents`` two words look about alike.
 ALIKE = 0.5
 
@@ -160,30 +162,86 @@ def looks_clean(word: str) -> bool:
     return all(ungarble(word, "utf-8", w) is None for w in eight_bit)
 
 
+def _class(encoding: str, begin: int, end: int) -> str:
+    """The characters that the bytes from ``begin`` to ``end`` are decoded to, as a class of a regular expression."""
+    chars = decode_wrongly(bytes(range(begin, end + 1)), encoding)
+    return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(set(chars))) + "]"
+
+
+def _three_bytes(encoding: str) -> str:
+    """One character of a spaceless script under UTF-8, read as an eight-bit encoding."""
+    return f"{_class(encoding, 0xE0, 0xE9)}{_class(encoding, 0x80, 0xBF)}{{2}}"
+
+
+_EIGHT_BIT = [w for r, w in CHAINS if r == "utf-8" and w not in WIDE]
+#: Two such characters, at any place of a run of whatever length; the classes leave out nearly all clean words.
+_SIX = re.compile("(?=((?:" + "|".join(f"(?:{_three_bytes(w)}){{2}}" for w in _EIGHT_BIT) + ")))")
+_C2, _C3 = (
+    "(?:" + "|".join(_class(w, a, b) + "(?:" + _class("latin-1", 0x80, 0xBF) + "|" + _class("cp1252", 0x80, 0xBF) + ")" + f"{{{n}}}" for _, w in TWICE) + ")"
+    for a, b, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2))
+)
+#: The same read wrongly twice.
+_SIX_TWICE = re.compile(f"(?=((?:{_C2}|{_C3}){{6}}))")
+#: Two characters of two bytes each, read as latin-1 or cp1252.
+_FOUR = re.compile("(?=((?:" + _class("latin-1", 0x80, 0xFF) + "|" + _class("cp1252", 0x80, 0xFF) + "){4}))")
+#: Two characters of a spaceless script as bytes of UTF-8.
+_PAIR_BYTES = re.compile(rb"(?:[\xe0-\xe9][\x80-\xbf]{2}){2}")
+
+
+def read_wide(run: str) -> bool:
+    """Whether a run holds UTF-8 of a spaceless script that was read as an encoding of two bytes."""
+    return any(_PAIR_BYTES.search(run.encode(w, "replace")) for w in WIDE[1:])
+
+
+def grams(run: str) -> Iterable[str]:
+    """The pieces of a run beyond ASCII that can be garbled pairs of characters: 3 to 6 characters long, and
+    longer where they were read wrongly twice."""
+    lost = _LOST.search(run)
+    if lost or len(run) >= LONG_RUN and not run.isalpha():
+        sizes: tuple[int, ...] = (3, 4, 5, 6)
+    elif len(run) >= 3 and max(run) >= "\u2e80" and read_wide(run):
+        sizes = (3, 4, 5, 6)
+    else:
+        sizes = ()
+    for n in sizes:
+        yield from (run[i : i + n] for i in range(len(run) - n + 1))
+    if len(run) >= 4:
+        yield from (m[1] for m in _FOUR.finditer(run))
+    if len(run) >= 6:
+        yield from (m[1] for m in _SIX.finditer(run))
+    if len(run) >= 12:
+        yield from (m[1] for m in _SIX_TWICE.finditer(run))
+
+
 def tokens(text: str) -> set[tuple[str, int]]:
-    """Words with characters beyond ASCII, the runs of such characters, and neighbouring characters
-    of spaceless scripts or of long runs."""
+    """Words with characters beyond ASCII, the runs of such characters, neighbouring characters
+    of spaceless scripts, and what can be garbled ones within a run; words and runs of any length."""
+    out: set[tuple[str, int]] = set()
+    for word in set(_TOKEN.findall(text)):
+        if not word.isascii():
+            out.update(_short_word(word) if len(word) <= KEPT_LENGTH else word_tokens(word))
+    return out
+
+
+def word_tokens(word: str) -> set[tuple[str, int]]:
     out = set()
-    for word in _TOKEN.findall(text):
-        if word.isascii():
-            continue
-        spaceless = _SPACELESS.search(word)
-        if not spaceless and len(word) <= 64:
-            out.add((word, WORD))
-        for run in _BEYOND.findall(word):
-            if spaceless:
-                for s in _SPACELESS.findall(run):
-                    out.update((s[i : i + 2], PAIR) for i in range(len(s) - 1))
-            elif run != word and len(run) <= 16:
-                out.add((run, PART))
-            if len(run) >= LONG_RUN and (not run.isalpha() or _LOST.search(run)):
-                for n in (3, 4, 6):
-                    out.update((run[i : i + n], PAIR) for i in range(len(run) - n + 1))
-            elif len(run) >= 4 and _LOST.search(run):
-                out.update((run[i : i + 4], PAIR) for i in range(len(run) - 3))
+    spaceless = _SPACELESS.search(word)
+    if not spaceless or any(ungarble(word, "utf-8", w) is not None for w in WIDE[1:]):
+        out.add((word, WORD))
+    for run in _BEYOND.findall(word):
+        if spaceless:
+            for s in _SPACELESS.findall(run):
+                out.update((s[i : i + 2], PAIR) for i in range(len(s) - 1))
+        elif run != word:
+            out.add((run, PART))
+        out.update((g, PAIR) for g in grams(run))
     return out
 
 
+#: Words repeat; those of up to ``KEPT_LENGTH`` characters are taken apart once a worker, as far as they are kept.
+_short_word = lru_cache(maxsize=50_000)(word_tokens)
+
+
 def accents(word: str) -> float:
     """Share of a word's letters that would surprise in a word of one script: higher is stranger."""
     odd = sum(1 for c in word if not c.isalpha())
@@ -224,8 +282,8 @@ def corpus_tokens(documents: DataFrame) -> DataFrame:
 def garbled_words(words: DataFrame) -> DataFrame:
     """``token, kind, original, chain``: the garbled words of the corpus with their verified originals.
 
-    A form longer or shorter than its original is too particular to be chance; a form of
-    the same length must be of three letters and look the stranger of the two, however often
+    A form longer or shorter than its original is too particular to be chance, and so is UTF-8
+    read as an encoding of two bytes; another form of the same length must be of three letters and look the stranger of the two, however often
     it stands. Only where both look about alike (``ALIKE``) must it stand in fewer distinct
     texts than its original. Of several originals the one in most texts is taken.
     """
@@ -238,7 +296,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
                     lossy = kind != PAIR and "\ufffd" in form
                     if kind != WORD and not lossy and (form.isascii() or len(form) < 2):
                         continue
-                    same = len(form) == len(token)
+                    wide = chain.split(">")[0] == "utf-8" and chain.split(">")[1] in WIDE and len(form) > 2
+                    same = len(form) == len(token) and not wide
                     if same and not lossy and (kind != WORD or len(token) < 3):
                         continue
                     if kind == PAIR and len(form) < 3:
@@ -301,7 +360,7 @@ def repair(text: str, known: dict[str, tuple[str, str]]) -> str:
 
         def part(r: re.Match) -> str:
             run = r.group()
-            return known[run][0] if run in known and len(run) <= 16 and len(known[run][0]) < len(run) else back(run) or run
+            return known[run][0] if run in known and len(known[run][0]) < len(run) else back(run) or run
 
         return back(word) or _BEYOND.sub(part, word)
 
