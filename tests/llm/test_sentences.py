@@ -50,3 +50,11 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "corpus_id string, doc_seq int, path string, text string, sent_start int")
     assert sorted(map(tuple, sentence_spans(df).collect()), key=str) == sorted([("c", 1, 0, 3), ("c", 1, 4, 9), (None, 4, 0, 2)], key=str)
     assert sentence_units(df).count() == 5 and sentence_spans(df.where("false")).count() == 0
+
+
+def test_any_number_of_terminators_within_a_sentence():
+    for n in (39, 41, 120, 3000):
+        one = "Ann read the list (" + "it was old. We saw it. " * n + "so it went) and left."
+        two = "See " + "J. R. Smith, " * n + "and others."
+        text = f"It began. {one} {two} It ended."
+        assert [text[a:b] for a, b in sentences(text)] == ["It began.", one, two, "It ended."]

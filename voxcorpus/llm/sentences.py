@@ -3,8 +3,8 @@
 Method. Blank lines part paragraphs. Within a paragraph of a spaced script every
 terminator with its closing marks is a node of a lattice; an edge is a sentence from one
 node to another. A node's score says how much it looks like an end (abbreviations,
-initials, ordinals, times, the word that follows); an edge pays for brackets and
-quotations it cuts open. The best path is found by dynamic programming.
+initials, ordinals, times, the word that follows), and pays for brackets and quotations
+it cuts open. The best path is found by dynamic programming; an edge may pass any number of nodes.
 
 Scripts without blanks between words are cut into words first: a lattice over a small
 dictionary of function words, unknown runs between them, fewest costs win. The gaps
@@ -107,8 +107,6 @@ _CJK_TERMINATOR = re.compile(r"(?:[。！？｡!?…]+|\.(?=\s|$))[" + re.escape
 _LAST_TOKEN = re.compile(r"\S+$")
 _NEXT_WORD = re.compile(r"[\s\"'“”„«»‘’‹›(\[¿¡–—-]*([^\W_]+)")
 _URL = re.compile(r"@|/|^www\.|\.\w+\.\w", re.I)
-#: Sentences one edge of the lattice may join, so that its costs stay in proportion to the text.
-MOST_JOINED = 40
 #: Characters before and after a place that may decide on it.
 WINDOW = 160
 
@@ -288,22 +286,16 @@ def split_spaced(text: str) -> Iterator[tuple[int, int]]:
         elif any(not quote for _, _, quote in closing) and text[ends[k] : ends[k] + WINDOW].lstrip()[:1].islower():
             s -= 20
         scores.append(s)
-    # A path's worth: the scores of its nodes, less the scores of the nodes it passes by.
-    best = [0.0] * (len(ends) + 1)
+    # A path's worth: the scores of its nodes, less the scores of the nodes it passes by. With the sums of
+    # the scores so far, the best node before is the one of the largest best + sum: a running maximum.
     back = [0] * (len(ends) + 1)
-    for j in range(1, len(ends) + 1):
-        top, at, passed = -1e18, j - 1, 0.0
-        for i in range(j - 1, max(-1, j - 1 - MOST_JOINED), -1):
-            worth = best[i] - passed + scores[j - 1]
-            if worth > top:
-                top, at = worth, i
-            passed += scores[i - 1] if i else 0.0
-        best[j], back[j] = top, at
-    top, at, passed = best[len(ends)], len(ends), 0.0
-    for i in range(len(ends), max(-1, len(ends) - MOST_JOINED - 1), -1):
-        if best[i] - passed > top:
-            top, at = best[i] - passed, i
-        passed += scores[i - 1] if i else 0.0
+    top, at, total = 0.0, 0, 0.0
+    for j, s in enumerate(scores, 1):
+        back[j] = at
+        worth = top - total + s
+        total += s
+        if worth + total >= top:
+            top, at = worth + total, j
     cuts = []
     while at:
         cuts.append(ends[at - 1])
