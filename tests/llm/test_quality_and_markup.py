@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from voxcorpus.llm import markup as U
+from voxcorpus.llm import markup_trees as T
 from voxcorpus.llm import quality as Q
 from voxcorpus.llm.holdout import HOLDOUT, SEED_PROSE
 from voxcorpus.llm.trees import Trees
@@ -103,3 +104,19 @@ def test_markup_frames(spark):
     clean = {r["doc_seq"]: r["text"] for r in U.clean_drafts(df).collect()}
     assert clean == {1: "# Head\n\n- one two\n\n- three four", 2: ""}
     assert U.markup_pieces(df.where("false")).count() == 0
+
+
+def test_trees_of_any_depth(model):
+    ends = "<h2>Head &amp; tail</h2><ul><li>One</li><li>Two <b>b</b></li></ul><pre><code>a = b</code></pre><p>Here \\(y_2\\).</p>"
+    want = {("heading", "Head & tail"), ("list_item", "One"), ("list_item", "Two b"), ("code", "a = b"), ("formula", "y_2")}
+    deep = "<html><body>" + "<div><p>Words of a <span>draft.</p>" * 4000
+    assert pieces(model, deep + ends, "x.html") == want
+    assert "<div>" not in U.clean_document(deep + ends, "x.html", model)
+    heads = "".join(f"<h2>Head {k}<div><p>Words of it.</p>" for k in range(1500))
+    assert {k for k, _ in pieces(model, "<html><body>" + heads, "x.html")} == {"heading"}
+    tex = "\\section{A}\n" + "\\begin{itemize}\n\\item one\n" * 3000 + "\\item last\n" + "\\end{itemize}\n" * 3000
+    assert {("list_item", "one"), ("list_item", "last")} <= pieces(model, tex, "x.tex")
+    for depth in (5, 25, 1200):
+        quoted = "\n".join("> " * depth + x for x in ("## Inner head", "", "- one `x`", "- two"))
+        found = {n.body for n in T.all_nodes(T.parse_markdown("# Head\n\n" + quoted))}
+        assert {"Head", "Inner head", "one x", "two"} <= found
