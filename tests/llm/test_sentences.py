@@ -1,5 +1,6 @@
 import pytest
 
+from voxcorpus.llm import sentences as S
 from voxcorpus.llm.sentences import sentence_spans, sentence_units, sentences
 
 CASES = [
@@ -58,3 +59,21 @@ def test_any_number_of_terminators_within_a_sentence():
         two = "See " + "J. R. Smith, " * n + "and others."
         text = f"It began. {one} {two} It ended."
         assert [text[a:b] for a, b in sentences(text)] == ["It began.", one, two, "It ended."]
+
+
+@pytest.mark.parametrize("word", sorted(S._DICTIONARY - {"ๆ"}))
+def test_each_word_of_the_dictionary_is_seen(word):
+    assert S._edge_words(f"{word} {word}", len(word), len(word) + 1) == (word, word)
+
+
+THAI = [
+    ("เสียงของเรา และ ความจริง", ["เสียงของเรา และ ความจริง"]),
+    ("เขาพูดชัด แต่ ข้อความยาว", ["เขาพูดชัด แต่ ข้อความยาว"]),
+    ("ตัดคำออก หรือ เก็บไว้", ["ตัดคำออก หรือ เก็บไว้"]),
+    ("เราส่งงานให้ Google แล้ว เมื่อวานเขาตอบ", ["เราส่งงานให้ Google แล้ว", "เมื่อวานเขาตอบ"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), THAI)
+def test_thai_words_with_marks(text, want):
+    assert [text[a:b] for a, b in sentences(text)] == want

@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +89,17 @@ CONTINUING_WORDS = frozenset(
     """และ หรือ แต่ ที่ ซึ่ง อัน ว่า กับ ของ เพราะ จึง ก็ ๆ ฯลฯ ແລະ ຫຼື ທີ່ និង ឬ ដែល နှင့် 和 或 与 と や が を に は
     の で から まで より""".split()
 )
-_DICTIONARY = CLOSING_WORDS | OPENING_WORDS | CONTINUING_WORDS
+#: Say nothing about a gap; they end like words that do.
+OTHER_WORDS = frozenset("กว่า หน้าที่ เจ้าหน้าที่ พื้นที่ สถานที่ ทันที่ เต็มที่".split())
+_DICTIONARY = CLOSING_WORDS | OPENING_WORDS | CONTINUING_WORDS | OTHER_WORDS
 _LONGEST = max(map(len, _DICTIONARY))
+#: Runs between blanks, punctuation and symbols. Vowel signs and tone marks are no word characters to ``re``, but
+#: belong to the words.
+_STRETCH = re.compile(
+    "[^\\s\U0001f000-\U0001faff"
+    + "".join(f"\\u{c:04x}" for c in range(0x10000) if unicodedata.category(chr(c))[0] in "PSZ")
+    + "]+"
+)
 
 _BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _BLANKED = re.compile("[฀-໿က-႟ក-៿]")
@@ -336,9 +346,10 @@ def lattice_words(text: str) -> list[str]:
 
 def _edge_words(text: str, a: int, b: int) -> tuple[str, str]:
     """The last word of text[:a] and the first of text[b:], of the lattice over their neighbourhood."""
-    left = re.split(r"[\s\W]", text[max(0, a - 24) : a].rstrip(_CLOSERS + "。！？!?…."))[-1]
-    right = re.match(r"\w*", text[b : b + 24].lstrip("\"'“„«‘‹([{（「『")).group()
-    words = lattice_words(left), lattice_words(right)
+    past = text[max(0, a - 24) : a].rstrip(_CLOSERS + "。！？!?….")
+    left = [m for m in _STRETCH.finditer(past) if m.end() == len(past)]
+    right = _STRETCH.match(text[b : b + 24].lstrip("\"'“„«‘‹([{（「『"))
+    words = lattice_words(left[0].group() if left else ""), lattice_words(right.group() if right else "")
     return (words[0][-1] if words[0] else ""), (words[1][0] if words[1] else "")
 
 
