@@ -77,3 +77,21 @@ THAI = [
 @pytest.mark.parametrize(("text", "want"), THAI)
 def test_thai_words_with_marks(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
+
+
+WITHOUT_TERMINATORS = [
+    ("今天开会了\n但是没有人来\n我们明天再说吗\n标题太长", ["今天开会了", "但是没有人来\n我们明天再说吗", "标题太长"]),
+    ("会議は昨日でした 明日は休みです\nしかし記録は続く", ["会議は昨日でした", "明日は休みです", "しかし記録は続く"]),
+    ("这份草稿很长\n标题也很长。我们改了", ["这份草稿很长\n标题也很长。", "我们改了"]),
+    ("品牌 Ruvenol 的价格（你好吗 我很好）降了", ["品牌 Ruvenol 的价格（你好吗 我很好）降了"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), WITHOUT_TERMINATORS)
+def test_chinese_and_japanese_without_terminators(text, want):
+    assert [text[a:b] for a, b in sentences(text)] == want
+
+
+def test_a_long_run_is_cut_as_a_whole():
+    text = "字" * 200_000 + "了 但是" + "字" * 200_000
+    assert len(sentences(text)) == 2

@@ -8,15 +8,16 @@ it cuts open. The best path is found by dynamic programming; an edge may pass an
 
 Scripts without blanks between words are cut into words first: a lattice over a small
 dictionary of function words, unknown runs between them, fewest costs win. The gaps
-(blanks in Thai, Lao, Khmer and Burmese, terminators in Chinese and Japanese) are then
-classified by the word before (final particles) and the word after (opening words).
+(blanks; in Chinese and Japanese terminators too) are then classified by the word before
+(final particles) and the word after (opening words). Chinese and Japanese terminators
+other than dots decide by themselves.
 
 Pure Python on one text; texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 import re
 import unicodedata
@@ -112,8 +113,11 @@ _CLOSERS = "\"'”’“»›" + _CLOSE
 _TERMINATOR = re.compile(
     r"(?P<mark>[.!?…;;؟।॥։۔⸮‼⁇⁈⁉。！？｡]+)(?P<close>[" + re.escape(_CLOSERS) + r"]*)(?P<gap>\s+|$|(?=[^\W\d_]))"
 )
+#: Chinese and Japanese words that hardly stand but at the end of a sentence.
+SURE_CLOSING_WORDS = frozenset("吗 呢 です ます ました でした".split())
 _CJK_CLOSERS = _CLOSERS.replace("“", "").replace("»", "")
 _CJK_TERMINATOR = re.compile(r"(?:[。！？｡!?…]+|\.(?=\s|$))[" + re.escape(_CJK_CLOSERS) + r"]*")
+_CJK_GAP = re.compile(_CJK_TERMINATOR.pattern + r"|\s+")
 _LAST_TOKEN = re.compile(r"\S+$")
 _NEXT_WORD = re.compile(r"[\s\"'“”„«»‘’‹›(\[¿¡–—-]*([^\W_]+)")
 _URL = re.compile(r"@|/|^www\.|\.\w+\.\w", re.I)
@@ -329,19 +333,44 @@ def lattice_words(text: str) -> list[str]:
         for size in range(1, min(_LONGEST, n - i) + 1):
             if text[i : i + size] in _DICTIONARY and cost[i] + 1 < cost[i + size]:
                 cost[i + size], back[i + size] = cost[i] + 1, i
-    out: list[str] = []
-    known: list[bool] = []
+    spans: list[tuple[int, int, bool]] = []
     at = n
     while at:
-        piece = text[back[at] : at]
-        is_word = piece in _DICTIONARY
-        if out and not is_word and not known[-1]:
-            out[-1] = piece + out[-1]
+        begin = back[at]
+        known = text[begin:at] in _DICTIONARY
+        if spans and not known and not spans[-1][2]:
+            spans[-1] = begin, spans[-1][1], False
         else:
-            out.append(piece)
-            known.append(is_word)
-        at = back[at]
-    return out[::-1]
+            spans.append((begin, at, known))
+        at = begin
+    return [text[a:b] for a, b, _ in reversed(spans)]
+
+
+class Stretches:
+    """The runs of a text between blanks and punctuation, each cut into words as a whole and once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        spans = [m.span() for m in _STRETCH.finditer(text)]
+        self.begins, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        self.edges: dict[int, tuple[str, str]] = {}
+
+    def edge(self, k: int) -> tuple[str, str]:
+        """First and last word of a run."""
+        if k not in self.edges:
+            words = lattice_words(self.text[self.begins[k] : self.ends[k]])
+            self.edges[k] = words[0], words[-1]
+        return self.edges[k]
+
+    def around(self, a: int, b: int) -> tuple[str, str]:
+        """The last word of text[:a] and the first of text[b:], past quotation marks and brackets."""
+        left = a - len(self.text[max(0, a - 24) : a]) + len(self.text[max(0, a - 24) : a].rstrip(_CLOSERS + "。！？!?…."))
+        near = self.text[b : b + 24]
+        right = b + len(near) - len(near.lstrip("\"'“„«‘‹([{（「『"))
+        i, j = bisect_left(self.ends, left), bisect_left(self.begins, right)
+        closes = self.edge(i)[1] if i < len(self.ends) and self.ends[i] == left else ""
+        opens = self.edge(j)[0] if j < len(self.begins) and self.begins[j] == right else ""
+        return closes, opens
 
 
 def _edge_words(text: str, a: int, b: int) -> tuple[str, str]:
@@ -390,15 +419,41 @@ def split_blanked(text: str) -> Iterator[tuple[int, int]]:
     yield begin, len(text)
 
 
+def _blank_score(text: str, a: int, b: int, stretches: Stretches) -> float:
+    """Log odds that the blanks text[a:b] part sentences of Chinese or Japanese: both words must say so, or a
+    closing one that stands nowhere else."""
+    left, right = text[a - 1], text[b]
+    if not _CJK.match(right) and right not in _OPEN + "“‘" or not _CJK.match(left) and left not in _CLOSERS:
+        return -9.0
+    closes, opens = stretches.around(a, b)
+    score = -3.0
+    if opens in CONTINUING_WORDS:
+        score -= 4
+    if closes in CONTINUING_WORDS:
+        score -= 4
+    if closes in CLOSING_WORDS:
+        score += 4 if closes in SURE_CLOSING_WORDS else 2
+    if opens in OPENING_WORDS:
+        score += 2
+    return score
+
+
 def split_unspaced(text: str) -> Iterator[tuple[int, int]]:
-    """Chinese and Japanese: terminators are the gaps."""
+    """Chinese and Japanese: terminators, blanks and line feeds are the gaps. Terminators other than dots end a
+    sentence unless a quotation or bracket goes on; at the other gaps the words on both sides decide."""
     around = Around(text)
+    stretches = Stretches(text)
     begin = 0
-    for m in _CJK_TERMINATOR.finditer(text):
+    for m in _CJK_GAP.finditer(text):
         a, b = m.span()
         if b >= len(text):
             continue
         spans = around.at(a)
+        if text[a].isspace():
+            if a > begin and not any(b < y for _, y, _ in spans) and _blank_score(text, a, b, stretches) > 0:
+                yield begin, a
+                begin = b
+            continue
         inside = [e for e in spans if b < e[1]]
         closing = [e for e in spans if e[1] <= b]
         nxt = next((x.end() for x in _CJK_TERMINATOR.finditer(text, b)), len(text))
@@ -418,7 +473,7 @@ def split_unspaced(text: str) -> Iterator[tuple[int, int]]:
             ):
                 score -= 20
         if set(mark) <= set("…."):
-            closes, opens = _edge_words(text, a, b)
+            closes, opens = stretches.around(a, b)
             if closes not in CLOSING_WORDS and opens not in OPENING_WORDS:
                 score -= 9
         if text[b : b + 1] in "，、,；：":
