@@ -143,3 +143,12 @@ def test_short_pieces_and_long_words(spark):
     want.add(950)
     got = {r["doc_id"] for r in E.garbled_documents(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == want
+
+
+def test_a_longer_stretch_of_which_only_stock_phrases_are_left():
+    head, tail = [f"h{k}" for k in range(6)], [f"t{k}" for k in range(8)]
+    items = [(n, " ".join(head + [f"i{n}x{k}" for k in range(21)] + tail)) for n in range(3)]
+    left = [("other" if k in (7, 12, 17, 22, 27) else w) for k, w in enumerate(items[0][1].split(), 1)]
+    text = "Before it. " + " ".join(left) + " After it."
+    assert brute(text, items[0][1]) and not brute(text, items[1][1])
+    assert S.Index(items).search([text]) == [(0, 0)]

@@ -1,10 +1,10 @@
 """Documents that hold passages of held-out evaluation items.
 
-Method: prefix-filtered set join. The shingles (five words) of all items are ordered by
-rarity. A leak holds a whole window of an item: ``RUN`` words in a row, so all shingles of
-that window and thus its rarest one; or ``STRETCH`` words of which one in ``ONE_IN`` may be
-another, so at least ``26 - 4 * 5 = 6`` of its 26 shingles and thus one of the 21 rarest.
-Only these prefix shingles are joined. A hit fixes the item and the offset of document
+Method: set join on shingles (five words). A leak holds ``RUN`` words of an item in a row, or
+a stretch of ``STRETCH`` words or more of which single ones, one in ``ONE_IN``, are others.
+Either leaves one shingle at least: were all runs of a stretch of L words with k others under
+five words, L - k <= 4 (k + 1) with k <= L / 7 would give L <= 14. No rarer part of the
+shingles would do for every L, so all those of the items are joined. A hit fixes the item and the offset of document
 against item (positional bound); the item-sized window of the document at that offset is
 then compared word by word, which is exact.
 
@@ -15,7 +15,7 @@ shuffled and pairs of documents never formed.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 import re
 
@@ -75,7 +75,7 @@ def leaked(same: np.ndarray) -> bool:
 
 
 class Index:
-    """Prefix shingles of a block of items."""
+    """Shingles of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.numbers = [n for n, _ in items]
@@ -86,20 +86,12 @@ class Index:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [np.array([self.vocabulary[w] for w in t], "int64") for t in texts]
         hashes = [shingle_hashes(i)[: max(0, len(i) - SHINGLE + 1)] for i in self.ids]
-        often = Counter(h for item in hashes for h in set(item.tolist()))
         at = defaultdict(list)
         for n, item in enumerate(hashes):
-            rank = [(often[h], h) for h in item.tolist()]
-            chosen = set()
-            for width, lost in ((RUN, 0), (STRETCH, STRETCH // ONE_IN)):
-                span = width - SHINGLE + 1
-                keep = lost * SHINGLE + 1
-                for i in range(len(rank) - span + 1):
-                    chosen.update(sorted(range(i, i + span), key=rank.__getitem__)[:keep])
-            for i in sorted(chosen):
-                at[rank[i][1]].append((n, i))
-        self.prefix = np.array(sorted(at), "uint64")
-        self.postings = [at[int(h)] for h in self.prefix]
+            for i, h in enumerate(item.tolist()):
+                at[h].append((n, i))
+        self.shingles = np.array(sorted(at), "uint64")
+        self.postings = [at[int(h)] for h in self.shingles]
 
     def search(self, documents: list[str | None]) -> list[tuple[int, int]]:
         """(position of the document, position of the item) of all leaks."""
@@ -109,12 +101,12 @@ class Index:
         flat = np.zeros(starts[-1], "int64")
         for s, t in zip(starts, texts):
             flat[s : s + len(t)] = t
-        if not len(flat) or not len(self.prefix):
+        if not len(flat) or not len(self.shingles):
             return []
         h = shingle_hashes(flat)
-        place = np.searchsorted(self.prefix, h)
-        place[place == len(self.prefix)] = 0
-        hits = np.nonzero(self.prefix[place] == h)[0]
+        place = np.searchsorted(self.shingles, h)
+        place[place == len(self.shingles)] = 0
+        hits = np.nonzero(self.shingles[place] == h)[0]
         tried: set[tuple[int, int, int]] = set()
         found: set[tuple[int, int]] = set()
         owner = np.searchsorted(starts, hits, side="right") - 1
