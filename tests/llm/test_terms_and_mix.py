@@ -60,6 +60,7 @@ def test_mix_meets_its_targets(spark):
     assert got["a"]["mixed_tokens"] == pytest.approx(0.4 * total, rel=1e-3) and got["b"]["mixed_tokens"] == pytest.approx(0.5 * total, rel=1e-3)
     assert {s for s, r in got.items() if not r["reachable"]} == {"none", "c"}
     assert {r["source"] for r in M.unreachable_sources(df, targets).collect()} == {"none", "c"}
+    assert all(r["converged"] for r in got.values()) and sum(r["actual_share"] for r in got.values()) == pytest.approx(1)
     assert rates.count() == len(rows) and rates.where("rate < 0").count() == 0
     whole = M.copies(rates).groupBy("domain").agg(F.sum("copies")).collect()
     assert dict(map(tuple, whole))["b"] == pytest.approx(50, abs=12)
@@ -80,3 +81,28 @@ def test_classifier_on_held_out_rows(spark):
     model = M.fit_classifier(spark.createDataFrame(rows[:200], "doc_id bigint, text string, source string, domain string"), ["a", "b", "c"])
     right = sum("abc"[M.posterior(model, t).argmax()] == s for _, t, _, s in rows[200:])
     assert right >= 90
+
+
+def test_unlabelled_documents_fill_what_labelled_ones_leave_open(spark):
+    rows = [(i, "apples pears plums", "a", 10, 0.0) for i in range(50)] + [(100 + i, "nails bolts screws", "b", 10, 0.0) for i in range(10)]
+    rows += [(200 + i, "nails bolts screws", None, 10, 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    rates, report = M.mix(df, targets)
+    got = {r["source"]: r for r in report.collect()}
+    assert not got["b"]["reachable"] and got["a"]["reachable"] and got["a"]["converged"]
+    assert got["b"]["mixed_tokens"] == pytest.approx(500, rel=1e-2) and got["a"]["mixed_tokens"] == pytest.approx(500, rel=1e-2)
+    assert rates.where("domain IS NULL AND rate > 0.9").count() == 40 and rates.where("rate > 1").count() == 0
+
+
+def test_reachable_is_exact_at_the_edge(spark):
+    rows = [(i, "x", s, 7, 0.0) for i, s in enumerate("abc" * 10)]
+    targets = spark.createDataFrame([("a", 2 / 3, 2), ("b", 2 / 3 + 1e-9, 2), ("c", 0.0, 0)], TARGETS)
+    assert [r["source"] for r in M.unreachable_sources(spark.createDataFrame(rows, DOCS), targets).collect()] == ["b"]
+
+
+def test_more_domains_than_the_model_has_room_for(spark):
+    rows = [(i, f"word{i}", f"s{i}", 5, 0.0) for i in range(1500)] + [(5000, "word7", None, 5, 0.0)]
+    targets = spark.createDataFrame([(f"s{i}", 1 / 1500, 1) for i in range(1500)], TARGETS)
+    rates, report = M.mix(spark.createDataFrame(rows, DOCS), targets)
+    assert report.count() == 1500 and rates.count() == 1501
