@@ -74,6 +74,22 @@ def flat_map(
     return df.mapInArrow(run, struct)
 
 
+def salts(df: DataFrame) -> int:
+    """Into how many parts the rows of a hot key are cut: as many as the cluster has cores, so that a key with
+    a third of all rows keeps no task longer than others."""
+    return max(16, min(1024, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def salted(df: DataFrame, n: int) -> DataFrame:
+    """Each row once for each of the ``n`` parts, in ``salt``; for the small side of a join."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def salt_of(n: int, *keys: str) -> Column:
+    """A row's part by its keys; never null, so that a join on it adds no filter that sets its two sides apart."""
+    return F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"), F.lit(0))
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet; the keys appear once, as the left side has them."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

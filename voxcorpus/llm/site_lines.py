@@ -3,9 +3,10 @@
 Method: hash the normalized lines, count the distinct documents of each site and hash,
 keep the hashes over the threshold, join back, rebuild the documents without them.
 
-Only 64-bit hashes and keys are shuffled, never the lines. The count is over (hash,
-document) pairs, so no hash gathers in one task; the join back is salted, so a line
-that stands on a third of all pages is spread over ``SALTS`` tasks.
+Each text is read and each line normalized once: the lines' 64-bit hashes and keys are
+exchanged by (hash, salt), and both the counts and the join back use that one exchange. The
+salt is a document's, so the distinct documents of the parts of a hash add up, and a line that
+stands on a third of all pages is spread over as many tasks as there are cores.
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import KEY, join_on, web_pages, website
+from voxcorpus.llm.common import KEY, join_on, salt_of, salted, salts, web_pages, website
 
 LEAST_DOCUMENTS = 6
-SALTS = 16
 
 
 def letters(line: Column) -> Column:
@@ -40,28 +40,21 @@ def hashed_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def frequent_hashes(lines: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``h, documents`` of the hashes in at least ``least`` documents of a site."""
-    return (
-        lines.select("h", *KEY)
-        .distinct()
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .where(F.col("documents") >= least)
-    )
-
-
 def repeated_lines(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``corpus_id, doc_seq, line_no, documents``: each repeated line of each page once.
 
     Null texts and paths have no lines; lines without letters are never repeated lines; a
     page delivered twice counts as one document.
     """
-    lines = hashed_lines(documents)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    often = frequent_hashes(lines, least).withColumn("salt", salts)
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int"))
-    return salted.join(often, ["h", "salt"]).select(*KEY, "line_no", "documents").distinct()
+    n = salts(documents)
+    lines = hashed_lines(documents).withColumn("salt", salt_of(n, *KEY)).repartition("h", "salt")
+    # A hash within a salt lies in one task: its documents are counted there, only counts move. The least line
+    # number is kept (and true of all) so that both readers of the exchange need the same columns of it.
+    once = lines.groupBy("h", "salt", *KEY).agg(F.min("line_no").alias("first")).where("first > 0")
+    parts = once.groupBy("h", "salt").agg(F.count(F.lit(1)).alias("documents"))
+    often = parts.groupBy("h").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least)
+    found = lines.join(salted(often, n), ["h", "salt"])
+    return found.select("h", "salt", *KEY, "line_no", "documents").distinct().select(*KEY, "line_no", "documents")
 
 
 def without_repeated_lines(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
