@@ -110,12 +110,13 @@ def mark_terms(
 ) -> DataFrame:
     """Adds ``mark``: ``rare`` (at most ``rare`` records), ``common`` (more than the share
     ``common`` of all records) or null; a term that is both is ``rare``."""
-    counts = counts.persist()
-    total = counts.where(F.col("term").isNull()).agg(F.max("records")).first()[0] or 0
-    mark = F.when(F.col("records") <= rare, "rare").when(
-        F.col("records") > F.lit(common) * F.lit(total), "common"
-    )
-    return counts.where(F.col("term").isNotNull()).withColumn("mark", mark)
+    # The row of the total is the one without occurrences. Told apart by that, and not by its null term, both
+    # readers of the counts ask for the same aggregation, which is computed once.
+    total = counts.agg(F.max(F.when(F.col("occurrences") == 0, F.col("records"))).alias("total"))
+    terms = counts.where(F.col("occurrences") > 0).withColumn("one", F.lit(0))
+    joined = terms.join(F.broadcast(total.withColumn("one", F.lit(0))), "one")
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common) * F.col("total"), "common")
+    return joined.select("term", "occurrences", "records", mark.alias("mark"))
 
 
 def text_terms(documents: DataFrame) -> DataFrame:
