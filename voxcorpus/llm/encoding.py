@@ -5,6 +5,10 @@ beyond ASCII, the garbled form under each chain (right encoding, wrong decoder,
 twice) is generated; the forms are hash-joined with the distinct words of the corpus, and
 the matches with the documents. A match names the original, which is substituted.
 
+Each text is taken apart once. Its tokens are exchanged once, by (token, salt), with the hash of
+the text and the document's number; the counts of distinct texts and the join with the garbled
+words both read that one exchange. The salt is the text's, so the counts of the parts add up.
+
 Words of scripts without blanks are pairs of neighbouring characters; besides whole words,
 runs of characters beyond ASCII within a word count as words of their own, so that a word
 that stands in the corpus in its garbled form only is found by its accents.
@@ -20,7 +24,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import flat_map, join_on
+from voxcorpus.llm.common import flat_map, join_on, salt_of, salted, salts
 
 #: Right encoding and wrong decoder.
 CHAINS: tuple[tuple[str, str], ...] = (
@@ -78,8 +82,7 @@ CHAINS: tuple[tuple[str, str], ...] = (
 TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 #: Decoders of more than one byte.
 WIDE = ("utf-8", "shift_jis", "cp932", "gbk", "big5", "euc_kr")
-SALTS = 16
-LONG_RUN = 12
+#: Words up to this length are taken apart once a worker.
 KEPT_LENGTH = 24
 #: Up to this difference in ``accents`` two words look about alike.
 ALIKE = 0.5
@@ -196,15 +199,9 @@ def read_wide(run: str) -> bool:
 def grams(run: str) -> Iterable[str]:
     """The pieces of a run beyond ASCII that can be garbled pairs of characters: 3 to 6 characters long, and
     longer where they were read wrongly twice."""
-    lost = _LOST.search(run)
-    if lost or len(run) >= LONG_RUN and not run.isalpha():
-        sizes: tuple[int, ...] = (3, 4, 5, 6)
-    elif len(run) >= 3 and max(run) >= "\u2e80" and read_wide(run):
-        sizes = (3, 4, 5, 6)
-    else:
-        sizes = ()
-    for n in sizes:
-        yield from (run[i : i + n] for i in range(len(run) - n + 1))
+    if len(run) >= 3 and (not run.isalpha() or _LOST.search(run) or max(run) >= "\u2e80" and read_wide(run)):
+        for n in (3, 4, 5, 6):
+            yield from (run[i : i + n] for i in range(len(run) - n + 1))
     if len(run) >= 4:
         yield from (m[1] for m in _FOUR.finditer(run))
     if len(run) >= 6:
@@ -263,20 +260,25 @@ def beyond_ascii(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").rlike(r"[^\x00-\x7F]"))
 
 
-def corpus_words(documents: DataFrame) -> DataFrame:
-    """``token, kind, texts``: in how many distinct texts a token stands; copies of a text count once."""
-    texts = beyond_ascii(documents).select("text").distinct()
-    found = flat_map(texts, lambda: tokens, "token string, kind int")
-    return found.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("texts"))
-
-
 def corpus_tokens(documents: DataFrame) -> DataFrame:
-    """``doc_id, token, kind``, each once a document."""
-    return flat_map(
-        beyond_ascii(documents).select("doc_id", "text"),
-        lambda: lambda doc, text: ((doc, t, k) for t, k in tokens(text)),
-        "doc_id bigint, token string, kind int",
+    """``token, kind, h, doc_id, salt``: each token once a document; h: the hash of its text."""
+    rows = beyond_ascii(documents).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = flat_map(
+        rows,
+        lambda: lambda doc, h, text: ((t, k, h, doc) for t, k in tokens(text)),
+        "token string, kind int, h bigint, doc_id bigint",
     )
+    # no token is null; said here, as the joins would say it for some readers of the exchange only
+    found = found.where("token IS NOT NULL AND kind IS NOT NULL")
+    return found.withColumn("salt", salt_of(salts(documents), "h")).repartition("token", "kind", "salt")
+
+
+def corpus_words(found: DataFrame) -> DataFrame:
+    """``token, kind, texts`` of ``corpus_tokens``: in how many distinct texts a token stands; copies of a text
+    count once. The least document number is only there for the exchange to be the one of the join."""
+    once = found.groupBy("token", "kind", "salt", "h").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("d")).where("d IS NOT NULL")
+    parts = once.groupBy("token", "kind", "salt").agg(F.sum(F.when(F.col("d").isNotNull(), 1)).alias("n"))
+    return parts.groupBy("token", "kind").agg(F.sum("n").alias("texts"))
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
@@ -326,10 +328,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
 def garbled_tokens(documents: DataFrame) -> DataFrame:
     """``doc_id, token, kind, original, chain`` of each garbled word of each document."""
     found = corpus_tokens(documents)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    bad = garbled_words(corpus_words(documents)).withColumn("salt", salts)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(bad, ["token", "kind", "salt"]).drop("salt")
+    bad = garbled_words(corpus_words(found))
+    met = found.join(salted(bad, salts(documents)), ["token", "kind", "salt"])
+    # true of all; asks for the hash beside the original, so that the join reads the same exchange as the counts
+    return met.where(F.col("h").isNotNull() | F.col("original").isNull()).drop("salt", "h")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -379,7 +381,9 @@ def restored_documents(documents: DataFrame) -> DataFrame:
             F.array_sort(F.collect_set("chain")).alias("chains"),
         )
     )
-    rows = join_on(documents.select("doc_id", "text").distinct(), known, ["doc_id"])
+    # only rows of garbled documents are compared with each other
+    rows = join_on(beyond_ascii(documents).select("doc_id", "text"), known, ["doc_id"])
+    rows = rows.dropDuplicates(["doc_id", "text"])
 
     def make():
         def one(doc, text, known, chains):
