@@ -21,10 +21,12 @@ from functools import lru_cache
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import flat_map, join_on, salt_of, salted, salts
+from voxcorpus.llm.common import flat_map, join_on, salted, salts
 
 #: Right encoding and wrong decoder.
 CHAINS: tuple[tuple[str, str], ...] = (
@@ -82,6 +84,8 @@ CHAINS: tuple[tuple[str, str], ...] = (
 TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 #: Decoders of more than one byte.
 WIDE = ("utf-8", "shift_jis", "cp932", "gbk", "big5", "euc_kr")
+#: A task hands on what it found when it holds so many places of tokens.
+CHUNK = 500_000
 #: Words up to this length are taken apart once a worker.
 KEPT_LENGTH = 24
 #: Up to this difference in ``accents`` two words look about alike.
@@ -261,23 +265,65 @@ def beyond_ascii(documents: DataFrame) -> DataFrame:
 
 
 def corpus_tokens(documents: DataFrame) -> DataFrame:
-    """``token, kind, h, doc_id, salt``: each token once a document; h: the hash of its text."""
+    """``token, kind, salt, hashes, docs``: where each token stands, in pieces: the hashes of the texts and the
+    numbers of their documents, a document once a token. A task hands on a piece for each token (and salt) of
+    every ``CHUNK`` places, so that common words are few rows."""
+    n = salts(documents)
     rows = beyond_ascii(documents).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = flat_map(
-        rows,
-        lambda: lambda doc, h, text: ((t, k, h, doc) for t, k in tokens(text)),
-        "token string, kind int, h bigint, doc_id bigint",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int, int], list[int]] = {}
+        hashes: list[int] = []
+        docs: list[int | None] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            at = np.fromiter((i for v in seen.values() for i in v), "int64", held)
+            ends = pa.array(np.cumsum([0, *map(len, seen.values())], dtype="int32"))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64()).take(pa.array(at))) for x in (hashes, docs)]
+            words, kinds, parts = zip(*seen)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), *lists],
+                names=["token", "kind", "salt", "hashes", "docs"],
+            )
+            seen.clear(), hashes.clear(), docs.clear()
+            return made
+
+        for batch in batches:
+            for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                me = len(docs)
+                docs.append(doc)
+                hashes.append(h)
+                part = h % n
+                for token, kind in tokens(text):
+                    key = token, kind, part
+                    if (got := seen.get(key)) is None:
+                        seen[key] = [me]
+                    else:
+                        got.append(me)
+                    held += 1
+                if held >= CHUNK:
+                    yield flush()
+                    held = 0
+        if held:
+            yield flush()
+
+    found = rows.mapInArrow(run, "token string, kind int, salt int, hashes array<bigint>, docs array<bigint>")
     # no token is null; said here, as the joins would say it for some readers of the exchange only
-    found = found.where("token IS NOT NULL AND kind IS NOT NULL")
-    return found.withColumn("salt", salt_of(salts(documents), "h")).repartition("token", "kind", "salt")
+    return found.where("token IS NOT NULL AND kind IS NOT NULL AND salt IS NOT NULL").repartition("token", "kind", "salt")
+
+
+def _either(one: str, other: str) -> Column:
+    """The values of one of two arrays of the same length. Names both, so that all readers of the tokens need
+    the same columns and share their exchange."""
+    return F.explode(F.when(F.size(other) >= 0, F.col(one)))
 
 
 def corpus_words(found: DataFrame) -> DataFrame:
     """``token, kind, texts`` of ``corpus_tokens``: in how many distinct texts a token stands; copies of a text
-    count once. The least document number is only there for the exchange to be the one of the join."""
-    once = found.groupBy("token", "kind", "salt", "h").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("d")).where("d IS NOT NULL")
-    parts = once.groupBy("token", "kind", "salt").agg(F.sum(F.when(F.col("d").isNotNull(), 1)).alias("n"))
+    count once."""
+    once = found.select("token", "kind", "salt", _either("hashes", "docs").alias("h")).distinct()
+    parts = once.groupBy("token", "kind", "salt").agg(F.count(F.lit(1)).alias("n"))
     return parts.groupBy("token", "kind").agg(F.sum("n").alias("texts"))
 
 
@@ -330,8 +376,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     found = corpus_tokens(documents)
     bad = garbled_words(corpus_words(found))
     met = found.join(salted(bad, salts(documents)), ["token", "kind", "salt"])
-    # true of all; asks for the hash beside the original, so that the join reads the same exchange as the counts
-    return met.where(F.col("h").isNotNull() | F.col("original").isNull()).drop("salt", "h")
+    return met.select(_either("docs", "hashes").alias("doc_id"), "token", "kind", "original", "chain")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
