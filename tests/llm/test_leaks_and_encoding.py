@@ -108,7 +108,7 @@ def test_found_and_restored(spark):
     back = {r["doc_id"]: r for r in E.restored_documents(df).collect()}
     assert set(back) == want
     right = sum(back[k]["text"] == t for k, t in lossless.items())
-    assert right >= 0.8 * len(lossless)
+    assert right >= 0.9 * len(lossless)
     assert E.garbled_documents(df.where("false")).count() == 0
 
 
@@ -152,3 +152,22 @@ def test_a_longer_stretch_of_which_only_stock_phrases_are_left():
     text = "Before it. " + " ".join(left) + " After it."
     assert brute(text, items[0][1]) and not brute(text, items[1][1])
     assert S.Index(items).search([text]) == [(0, 0)]
+
+
+@pytest.mark.parametrize(("right", "wrong"), [c for c in E.CHAINS if c[1] != "utf-8"])
+def test_texts_are_turned_back_under_every_chain(right, wrong):
+    """Of the texts a chain can garble without loss, at least nine in ten come back whole. Cyrillic in Shift-JIS
+    is left out: half of its bytes stay ASCII, which is a limit the README names."""
+    done = []
+    for text in (t for k, t in CLEAN.items() if (k, right) != (3, "shift_jis")):
+        bad = E.garble(text, right, wrong)
+        if bad is None or bad == text or E.ungarble(bad, right, wrong) != text:
+            continue
+        known = {}
+        for token, kind in E.tokens(text):
+            form = E.garble(token, right, wrong)
+            if form and form != token and (kind == E.WORD or len(form) > 2):
+                known[form] = token, f"{right}>{wrong}"
+        if known:
+            done.append(E.repair(f"Plain words before.\n{bad}\nAnd after.", known) == f"Plain words before.\n{text}\nAnd after.")
+    assert sum(done) >= 0.9 * len(done)

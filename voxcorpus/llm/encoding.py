@@ -16,6 +16,7 @@ that stands in the corpus in its garbled form only is found by its accents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 import re
@@ -384,34 +385,59 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return garbled_tokens(documents).select("doc_id").distinct()
 
 
-def repair(text: str, known: dict[str, tuple[str, str]]) -> str:
-    """Substitutes the originals; runs without one are turned back by the document's own chains
-    where that has one result."""
-    chains = [c.split(">") for c in dict.fromkeys(c for _, c in known.values())]
-
-    def back(word: str) -> str | None:
-        for steps in chains:
-            now: str | None = word
-            for i in range(len(steps) - 2, -1, -2):
-                now = ungarble(now, steps[i], steps[i + 1]) if now is not None else None
-            if now is not None and now != word:
-                return now
-        return None
-
-    def whole(m: re.Match) -> str:
-        word = m.group()
-        if word.isascii():
-            return word
-        if word in known and not _SPACELESS.search(word):
-            return known[word][0]
+def undone(text: str, chain: str) -> str | None:
+    """The original of a garbled text under a chain, or None where there is none or it is the text itself."""
+    steps = chain.split(">")
+    now: str | None = text
+    for i in range(len(steps) - 2, -1, -2):
+        now = ungarble(now, steps[i], steps[i + 1]) if now is not None else None
+    return now if now != text else None
 
-        def part(r: re.Match) -> str:
-            run = r.group()
-            return known[run][0] if run in known and len(known[run][0]) < len(run) else back(run) or run
 
-        return back(word) or _BEYOND.sub(part, word)
+def repair(text: str, known: dict[str, tuple[str, str]]) -> str:
+    """Substitutes the originals.
 
-    return _TOKEN.sub(whole, text)
+    The garbled words of a document vote for its chain. A text, or else a line, most of whose words beyond
+    ASCII are garbled ones is turned back as a whole by the first chain that can (so also single marks and the
+    bytes that stayed ASCII); in other lines words are turned back one by one, by their own chain or the one
+    voted for, where they then look less strange.
+    """
+    votes = Counter(c for _, c in known.values())
+    chains = [c for c, _ in votes.most_common()]
+
+    def better(old: str, new: str) -> bool:
+        return strangeness(old, new) > 0
+
+    def word_of(word: str) -> str:
+        own = known.get(word) if not _SPACELESS.search(word) else None
+        for c in chains:
+            if own and votes[own[1]] * 3 >= votes[c]:
+                return own[0]
+            new = undone(word, c)
+            if new is not None and (own or better(word, new)):
+                return new
+        return own[0] if own else ""
+
+    def part(m: re.Match) -> str:
+        run = m.group()
+        if run in known and len(known[run][0]) < len(run):
+            return known[run][0]
+        return next((new for c in chains if (new := undone(run, c)) is not None and better(run, new)), run)
+
+    def word(m: re.Match) -> str:
+        return m.group() if m.group().isascii() else word_of(m.group()) or _BEYOND.sub(part, m.group())
+
+    def whole(piece: str) -> str | None:
+        words = [w for w in _TOKEN.findall(piece) if not w.isascii() and (len(w) > 1 or w.isalpha())]
+        hits = sum(any(t in known for t, _ in tokens(w)) for w in words)
+        if 2 * hits <= len(words):
+            return None
+        made = (undone(piece, c) for c in chains)
+        return next((new for new in made if new is not None and not _LOST.search(new)), None)
+
+    if (new := whole(text)) is not None:
+        return new
+    return "\n".join(whole(line) or _TOKEN.sub(word, line) if not line.isascii() else line for line in text.split("\n"))
 
 
 def restored_documents(documents: DataFrame) -> DataFrame:
