@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 import pytest
 
+from voxcorpus.functions.rows import running
 from voxcorpus.operators import cadence as C
 from voxcorpus.operators import clusters as K
 from voxcorpus.operators import tone as N
@@ -51,6 +52,29 @@ def test_cadence_by_document_and_joined(spark):
     assert cadence(spark, *open_end)["sentence_count"] == 2 and cadence(spark, *open_end, exact=True)["sentence_count"] == 1
 
 
+def joined_sentences(texts):
+    import re
+
+    whole = "\n\n".join(t or "" for t in texts)
+    return [s for s in (p.strip() for p in re.sub("([.!?][.!?\"”’')\\]]*)\\s+", "\\1\x1e", whole).split("\x1e")) if s]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.text("ab.!? \n\"", max_size=14)), min_size=1, max_size=7))
+def test_exact_sentences_are_those_of_the_joined_text(spark, texts):
+    rows = C.split_sentences(docs(spark, *texts), BY, exact=True).collect()
+    assert [r["sentence"] for r in sorted(rows, key=lambda r: (r["doc_seq"], r["sent_seq"]))] == joined_sentences(texts)
+
+
+def test_running_sums_of_a_cut_group(spark):
+    rows = [(g, k, n) for g in ("a", None) for k in (2, 1) for n in range(0, 50, 3)] + [("a", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, n int")
+    got = running(df, ["g"], [F.col("k")], "n", F.lit(1), "before", span=7).collect()
+    assert sorted((r["g"] or "", r["before"]) for r in got) == [("", i) for i in range(34)] + [("a", i) for i in range(35)]
+    places = sorted((r for r in got if r["g"] == "a"), key=lambda r: r["before"])
+    assert [(r["k"], r["n"]) for r in places] == sorted(((k, n) for g, k, n in rows if g == "a"), key=lambda x: (x[0], x[1] is not None, x[1]))
+
+
 def test_null_corpus_is_a_group(spark):
     df = docs(spark, "One two three four five.").unionByName(docs(spark, "Six.", corpus=None))
     assert {r["corpus_id"]: r["sentence_count"] for r in C.cadence(df, BY).collect()} == {"c": 1, None: 1}
@@ -100,11 +124,15 @@ def test_tfidf_is_the_known_formula(spark):
     assert got == pytest.approx(want)
 
 
-def test_first_delivery(spark):
-    rows = [("c", 1, "late", datetime(2024, 2, 1)), ("c", 1, "first", datetime(2024, 1, 1)), (None, 1, "x", None)]
+@pytest.mark.parametrize("most", [500_000, 1, 0])
+def test_first_delivery(spark, most):
+    t = lambda m: datetime(2024, m, 1)
+    rows = [("c", 1, "late", t(2)), ("c", 1, "first", t(1)), (None, 1, "x", None), ("c", 2, "dated", t(3)), ("c", 2, "undated", None),
+            ("c", 3, "b", t(1)), ("c", 3, "a", t(1)), ("c", 3, "0", t(2)), ("c", 4, "u2", None), ("c", 4, "u1", None), (None, None, None, None)]
     df = spark.createDataFrame(rows, "corpus_id string, doc_seq int, text string, loaded_at timestamp")
-    got = {(r["corpus_id"], r["text"]) for r in first_delivery(df, ["corpus_id", "doc_seq"], "loaded_at").collect()}
-    assert got == {("c", "first"), (None, "x")}
+    got = {(r["corpus_id"], r["text"]) for r in first_delivery(df, ["corpus_id", "doc_seq"], "loaded_at", ["text"], most).collect()}
+    assert got == {("c", "first"), (None, "x"), ("c", "dated"), ("c", "a"), ("c", "u1"), (None, None)}
+    assert first_delivery(df.where("false"), ["corpus_id", "doc_seq"], "loaded_at").count() == 0
 
 
 def vectors(spark, rows):
@@ -121,6 +149,16 @@ def test_centroid_and_extremes(spark):
     assert V.extremes(d, [], ["token"], k=1, nearest=False).first()["token"] == "z"
 
 
+def test_learned_words_know_what_occurs_together(spark):
+    rows = ["the harbour boats sail tide", "boats tide harbour", "sail boats tide", "bread oven flour yeast", "flour yeast bread", "oven bread yeast"] * 3
+    e = V.learn_words(docs(spark, *[f"{t} x{i % 7}y" for i, t in enumerate(rows)]), dim=32)
+    v = e.encode(["boats", "tide", "yeast", "unknownword", ""])
+    assert v[0] @ v[1] > v[0] @ v[2] + 0.3 and abs(v[3] @ v[3] - 1) < 1e-9
+    s = V.HashedNgrams().encode(["harbour", "harbours", "quietly", None, "\ud800"])
+    assert s[0] @ s[1] > 0.5 > s[0] @ s[2] and s.shape == (5, 64)
+    assert (V.HashedNgrams().encode(["harbour"]) == s[:1]).all() and V.HashedNgrams().encode([]).shape == (0, 64)
+
+
 def test_semantic_partition(spark):
     middles = vectors(spark, [("m", 0, [1.0, 0.0])]).select(F.col("embedding").cast("array<double>").alias("centroid"))
     got = V.semantic_partition(vectors(spark, [("in", 0, [0.9, 0.1]), ("out", 0, [0.0, 1.0])]), middles).collect()

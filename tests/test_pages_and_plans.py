@@ -1,7 +1,9 @@
 """Pages, crawl, pipeline, sinks, command line, streaming and the entry points."""
 
+import http.server
 import importlib
 import json
+import threading
 
 import pytest
 
@@ -46,6 +48,50 @@ def test_links_and_crawl(spark):
     assert order == [(1, 1), (2, 2), (3, 3), (5, 4)]
 
 
+def test_crawl_over_http(spark):
+    body = f"<main><p>{PROSE}</p><a href='/old'>a</a> <a href='../gone'>b</a> <a href='/pic'>c</a> <a href='/private/x'>d</a></main>"
+    answers = {"/": (200, "text/html", body), "/new": (200, "text/html; charset=latin-1", f"<main><p>{PROSE} café</p></main>"), "/pic": (200, "image/png", "x"),
+               "/robots.txt": (200, "text/plain", "User-agent: *\nDisallow: /private/")}
+    asked = []
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["User-Agent"]))
+            if self.path == "/old":
+                self.send_response(301)
+                self.send_header("Location", "/new")
+                self.end_headers()
+                return
+            status, kind, text = answers.get(self.path, (404, "text/html", ""))
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(text.encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        docs = P.crawl(spark, f"http://127.0.0.1:{server.server_port}/", P.http_fetcher("tester", 5.0)).collect()
+    finally:
+        server.shutdown()
+    assert [(r["path"], "café" in r["text"]) for r in docs] == [("/", False), ("/old", True)]
+    assert ("/new", "tester") in asked and not any(p.startswith("/private") for p, _ in asked)
+
+
+def test_a_table_is_asked_for_several_pages_at_once(spark):
+    links = "".join(f"<a href='/p{i}'>x</a>" for i in range(8))
+    rows = [(0, "http://e.com/", f"<main><p>{PROSE}</p>{links}</main>", 200)] + [(i + 1, f"http://e.com/p{i}", f"<main><p>{PROSE}</p></main>", 200) for i in range(8)]
+    fetch = P.table_fetcher(pages(spark, *rows), "e.com")
+    looked = []
+    inner = fetch.prefetch
+    fetch.prefetch = lambda urls: (looked.append([u for u in urls if u not in fetch.held]), inner(urls))
+    assert P.crawl(spark, "http://e.com/", fetch).count() == 9
+    assert len([x for x in looked if x]) == 3  # robots, the root, all others
+
+
 @pytest.fixture(scope="module")
 def measured(spark):
     text = "We build careful infrastructure. You can trust our careful infrastructure! Is the work careful? " * 6
@@ -65,7 +111,7 @@ def test_fingerprint(measured):
 def test_empty_fingerprint(spark, tmp_path):
     docs = spark.createDataFrame([], "corpus_id string, doc_seq int, text string")
     f = fingerprint(spark, docs, spark.createDataFrame([("a", 1, 1.0, 1)], "token string, cnt bigint, rate double, rnk int"))
-    assert f["empty"] and sinks.brand_config(f)["empty"] and "no text" in sinks.style_prompt(f)
+    assert f["empty"] and sinks.brand_config(f)["empty"] and "empty" in sinks.style_prompt(f)
 
 
 def test_sinks(measured, tmp_path):
@@ -75,15 +121,22 @@ def test_sinks(measured, tmp_path):
     lo, hi = config["cadence"]["target_range"]
     assert config["schema_version"] == "0.1" and 3 <= lo < hi and len(config["exemplar_sentences"]) <= 5
     prompt = sinks.write_style_prompt(measured, tmp_path / "p.md").read_text()
-    assert "Brand" in prompt and "## Rhythm" in prompt
+    assert prompt.startswith("# Brand: how it sounds") and "## Figures" in prompt and "against baseline" in prompt
+    assert sinks.shortened("x" * 300) == "x" * 217 + "..." and sinks.shortened(" a\nb ") == "a b"
 
 
 def test_command_line(spark, tmp_path, capsys):
     assert main([], spark) == 1 and main(["--url", "x", "--folder", "y"], spark) == 1
     (tmp_path / "in").mkdir()
-    assert main(["--folder", str(tmp_path / "in")], spark) == 1
+    cache = ["--baseline-cache", str(tmp_path / "cache" / "b.parquet")]
+    assert main(["--folder", str(tmp_path / "in"), *cache], spark) == 1 and "no baseline" in capsys.readouterr().err
+    (tmp_path / "general").mkdir()
+    (tmp_path / "general" / "g.txt").write_text("Plain words of general writing, as people write them every day. " * 9)
+    build = ["--baseline-texts", str(tmp_path / "general"), *cache]
+    assert main(["--folder", str(tmp_path / "in"), *build], spark) == 1 and "no documents" in capsys.readouterr().err
     (tmp_path / "in" / "a.md").write_text("# Title\n\n" + PROSE)
-    assert main(["--folder", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--inspect"], spark) == 0
+    assert main(["--folder", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--inspect", *cache], spark) == 0
+    assert json.loads((tmp_path / "out" / "brand-config.json").read_text())["baseline_corpus"] == "general"
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"voice-fingerprint.json", "brand-config.json", "style-prompt.md"}
     assert "3,000 words" in capsys.readouterr().out
 

@@ -6,6 +6,7 @@ import pytest
 from voxcorpus.functions import text as T
 from voxcorpus.functions import url as U
 from voxcorpus.sources.folder import read_folder
+from voxcorpus.sources.pages import normalize_url
 
 
 def one(spark, column, value, kind="string"):
@@ -68,9 +69,17 @@ def test_urls(spark):
     assert [one(spark, U.priority, p) for p in paths] == [10, 8, 8, 6, 5, 4, 2, 2]
     skips = ["/api/v1/thing", "/assets/img.png", "/wp-login.php", "/static/main.js", "/", "/about", "/blog/post-slug"]
     assert [one(spark, U.should_skip, p) for p in skips] == [True] * 4 + [False] * 3
-    df = spark.createDataFrame([("b.html", "https://Ex.com/a/c.html"), ("/r?x", "https://ex.com/a"), ("//o.com/z", "http://ex.com")], "h string, b string")
+
+
+HREFS = ["b.html", "/r?x", "//o.com/z", "../about", "./x", "../../../y/", "a/./b/../c", "..", ".", "/a//b", "/a/../../c", "#top", "?q=1", "", "x/..",
+         "https://Ex.com/a/../b", "/blog/", "p;v=1", "../a?b=../c#../d"]
+
+
+@pytest.mark.parametrize("base", ["https://Ex.com/a/c.html", "https://ex.com", "https://ex.com/blog/a/post", "http://ex.com/blog/"])
+def test_resolve_as_the_standard_library(spark, base):
+    df = spark.createDataFrame([(h, base) for h in HREFS], "h string, b string")
     got = [r[0] for r in df.select(U.resolve(F.col("h"), F.col("b"))).collect()]
-    assert got == ["https://ex.com/a/b.html", "https://ex.com/r", "http://o.com/z"]
+    assert got == [normalize_url(h, base) for h in HREFS]
 
 
 def test_folder(spark, tmp_path):
@@ -81,9 +90,12 @@ def test_folder(spark, tmp_path):
     (tmp_path / "long.txt").write_text("w" * 300)
     (tmp_path / "tiny.md").write_text("hi\n")
     (tmp_path / "skip.pdf").write_text("x" * 100)
+    (tmp_path / ".drafts").mkdir()
+    (tmp_path / ".drafts" / "_hidden.txt").write_text("A hidden file\n\nwith a paragraph in it.")
     rows = read_folder(spark, str(tmp_path)).collect()
     assert [(r["doc_seq"], r["path"], r["title"]) for r in rows] == [
-        (1, "long.txt", "long"), (2, "note.txt", "First line"), (3, "post.md", "A Post"), (4, "sub dir/page.html", "Head"),
+        (1, ".drafts/_hidden.txt", "A hidden file"), (2, "long.txt", "long"), (3, "note.txt", "First line"), (4, "post.md", "A Post"),
+        (5, "sub dir/page.html", "Head"),
     ]
-    assert rows[3]["text"] == "t Head Body text of the page"
-    assert "`" not in rows[2]["text"] and "http" not in rows[2]["text"]
+    assert rows[4]["text"] == "t Head Body text of the page"
+    assert "`" not in rows[3]["text"] and "http" not in rows[3]["text"]

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 
-#: Words in lower-cased text: a letter, then letters, apostrophes and hyphens.
-WORD = r"([a-z][a-z'\-]+)"
-CLITIC = r"([\p{L}\p{N}])['’]([A-Za-z])"
-SENTENCE_END = "([.!?][.!?\"”’')\\]]*)\\s+"
-COUNTED_WORD = r"[^\s\p{P}]+(?:[.,:]\d+)*"
-COUNTED_MARK = r"\.\.+|--+|\p{P}"
 MARK = "\u001e"
 
 
@@ -50,7 +44,7 @@ def pick_title(heading: Column, text: Column, stem: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(L.WORD), F.lit(1)), F.array().cast("array<string>"))
 
 
 def is_content(token: Column) -> Column:
@@ -64,21 +58,32 @@ def is_display_noise(token: Column) -> Column:
 
 
 def part_clitics(text: Column) -> Column:
-    return F.regexp_replace(text, CLITIC, "$1 $2")
+    return F.regexp_replace(text, L.CLITIC, "$1 $2")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
     """Array of the trimmed sentences of a text, empty ones left out."""
-    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$1" + MARK), MARK)
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    parts = F.split(F.regexp_replace(text, L.SENTENCE_END, "$1" + MARK), MARK)
+    return F.filter(F.transform(parts, stripped), lambda s: s != "")
+
+
+def open_pieces(text: Column) -> Column:
+    """Array of the untrimmed pieces of a text that a blank line and more text may follow; the last one is
+    open, and "" if the text ends with a sentence. A null text is an empty one."""
+    followed = F.concat(F.coalesce(text, F.lit("")), F.lit("\n\n"))
+    return F.split(F.regexp_replace(followed, L.SENTENCE_END, "$1" + MARK), MARK)
 
 
 def count_words(sentence: Column) -> Column:
-    return F.regexp_count(sentence, F.lit(COUNTED_WORD))
+    return F.regexp_count(sentence, F.lit(L.COUNTED_WORD))
 
 
 def count_marks(sentence: Column) -> Column:
-    return F.regexp_count(F.regexp_replace(sentence, COUNTED_WORD, "w"), F.lit(COUNTED_MARK))
+    return F.regexp_count(F.regexp_replace(sentence, L.COUNTED_WORD, "w"), F.lit(L.COUNTED_MARK))
 
 
 def count_of(sentence: Column, forms: Sequence[str]) -> Column:

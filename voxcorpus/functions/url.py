@@ -28,18 +28,34 @@ def normalize(url: Column) -> Column:
     return F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit("://"), host(url), path(url)))
 
 
+def without_dots(path: Column, squeeze: bool = False) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; squeeze: without empty ones between others."""
+    segments = F.slice(F.split(path, "/"), 2, 1 << 30)
+    last = F.element_at(segments, -1)
+    inner = F.filter(segments, lambda x, i: (x != "") | (i == F.size(segments) - 1)) if squeeze else segments
+    joined = F.aggregate(
+        F.filter(inner, lambda x: x != "."),
+        F.lit(""),
+        lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)),
+    )
+    full = F.when(last.isin(".", ".."), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when(full == "", "/").otherwise(full)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """Normalized address of a link on a page: absolute, from the host's root, or beside the page."""
+    """Normalized address of a link on a page: absolute, from the host's root, or beside the page, where dot
+    segments are resolved."""
     scheme = F.regexp_extract(base, _PARTS, 1)
     root = F.concat(scheme, F.lit("://"), host(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     href = F.trim(href)
+    bare = F.regexp_extract(href, "^[^?#;]*", 0)
     full = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when((href == "") | href.startswith("#") | href.startswith("?"), base)
-        .otherwise(F.concat(root, folder, href))
+        .when(bare == "", base)
+        .when(href.startswith("/"), F.concat(root, without_dots(bare)))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, bare), squeeze=True)))
     )
     return normalize(full)
 

@@ -1,8 +1,9 @@
 """Sentence rhythm of corpora.
 
 Every measure of a sentence is a built-in expression; a corpus needs one aggregation with
-partial sums. Sentences are cut document by document (parallel); ``exact=True`` joins a
-corpus into one text first, in document order, as one task for each corpus.
+partial sums. Sentences are cut document by document. ``exact=True`` cuts a corpus as if its documents
+were one text, in document order and with blank lines between: the documents are cut as before, and only
+their first and last pieces are mended where a sentence runs on into the next document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
-from voxcorpus.functions.rows import join_on
+from voxcorpus.functions.rows import join_on, running
 
 MEASURES = [
     "mean_length", "std_length", "p25_length", "p50_length", "p75_length", "pronoun_ratio_first", "pronoun_ratio_second",
@@ -23,17 +24,29 @@ MEASURES = [
 def split_sentences(docs: DataFrame, by: list[str], exact: bool = False) -> DataFrame:
     """``*by, doc_seq, sent_seq, sentence``; null and blank texts have no sentences.
 
-    exact: the documents of a group are joined with blank lines before the cut; doc_seq is 0 then.
+    exact: a sentence may run on over documents; it is named after the document it begins in.
     """
-    if exact:
-        joined = F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("doc_seq", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]
-            ),
-            "\n\n",
-        )
-        docs = docs.groupBy(*by).agg(joined.alias("text")).withColumn("doc_seq", F.lit(0))
-    return docs.select(*by, "doc_seq", F.posexplode(T.sentences(F.col("text"))).alias("sent_seq", "sentence"))
+    if not exact:
+        return docs.select(*by, "doc_seq", F.posexplode(T.sentences(F.col("text"))).alias("sent_seq", "sentence"))
+    pieces = docs.select(*by, "doc_seq", T.open_pieces(F.col("text")).alias("p")).withColumn("breaks", F.size("p") - 1)
+    whole = pieces.where("breaks > 1").select(*by, "doc_seq", F.posexplode("p").alias("sent_seq", "sentence"), "breaks")
+    whole = whole.where("sent_seq > 0 AND sent_seq < breaks").drop("breaks")
+    # A document's first piece goes on with what is open; its last one stays open. Pieces with as many ends
+    # before them are one sentence, whatever documents they lie in.
+    ends = pieces.select(*by, "doc_seq", "breaks", F.element_at("p", 1).alias("first"), F.element_at("p", -1).alias("last"))
+    ends = running(ends, by, [], "doc_seq", F.col("breaks"), "ends_before")
+    part = lambda n, seq, text: F.struct(n.alias("n"), F.col("doc_seq"), seq.alias("sent_seq"), text.alias("t"))
+    both = F.array(
+        part(F.col("ends_before"), F.lit(0), F.col("first")), part(F.col("ends_before") + F.col("breaks"), F.col("breaks"), F.col("last"))
+    )
+    parts = ends.select(*by, F.explode(F.when(F.col("breaks") > 0, both).otherwise(F.slice(both, 1, 1))).alias("x")).select(*by, "x.*")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_seq", "sent_seq", "t")))
+    mended = parts.groupBy(*by, "n").agg(ordered.alias("o")).select(
+        *by, F.col("o")[0]["doc_seq"].alias("doc_seq"), F.col("o")[0]["sent_seq"].alias("sent_seq"),
+        F.array_join(F.transform("o", lambda x: x["t"]), "").alias("sentence"),
+    )
+    out = whole.unionByName(mended).withColumn("sentence", T.stripped(F.col("sentence")))
+    return out.where(F.col("sentence") != "")
 
 
 def measure_sentences(sentences: DataFrame) -> DataFrame:
@@ -81,20 +94,21 @@ def aggregate_cadence(measured: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def cadence(docs: DataFrame, by: list[str], exact: bool = False) -> DataFrame:
-    """Cadence of every group of ``docs``; a group without any sentence has a row of zeros."""
+def cadence(docs: DataFrame, by: list[str], exact: bool = False, groups: DataFrame | None = None) -> DataFrame:
+    """Cadence of every group of ``docs``; a group without any sentence has a row of zeros. groups: one row a
+    group, where there is such a table already; its columns stay."""
     got = aggregate_cadence(measure_sentences(split_sentences(docs, by, exact)), by)
-    groups = docs.select(*by).distinct()
-    zeros = {c: 0 for c in ["sentence_count", "word_count"]} | {c: 0.0 for c in MEASURES}
     if not by:
         return got
+    groups = docs.select(*by).distinct() if groups is None else groups
+    zeros = {c: 0 for c in ["sentence_count", "word_count"]} | {c: 0.0 for c in MEASURES}
     return join_on(groups, got, by, "left").fillna(zeros)
 
 
-def sentence_lengths(measured: DataFrame, by: list[str]) -> DataFrame:
-    """``*by, lengths``: words of each sentence, in order."""
-    rows = F.array_sort(F.collect_list(F.struct("doc_seq", "sent_seq", "n_words")))
-    return measured.groupBy(*by).agg(F.transform(rows, lambda x: x["n_words"]).alias("lengths"))
+def sentence_lengths(measured: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``*by, doc_seq, sent_seq, n_words``: words of each sentence, a row each, so that no group is gathered; their
+    order is that of doc_seq and sent_seq."""
+    return measured.select(*(by or []), "doc_seq", "sent_seq", "n_words")
 
 
 def length_histogram(measured: DataFrame, by: list[str], bins: int = 10, width: int = 40) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +14,29 @@ from voxcorpus.functions import lists as L
 from voxcorpus.operators import vectors as V
 
 SEEDS = 10
+#: Runs at a time.
+AT_ONCE = 5
 
 
 def kmeans(vectors: DataFrame, k: int = L.CLUSTERS, seed: int = 42, seeds: int = SEEDS) -> DataFrame:
-    """Adds ``cluster``: the cheapest of ``seeds`` runs; k is at most the number of rows and at least 1."""
-    n = vectors.count()
-    if n == 0:
-        return vectors.withColumn("cluster", F.lit(None).cast("int"))
-    rows = vectors.withColumn("_v", array_to_vector(V.unit(F.col("embedding")))).persist()
-    k = max(1, min(k, n))
-    if k == 1:
-        return rows.drop("_v").withColumn("cluster", F.lit(0))
-    runs = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(rows) for i in range(seeds)]
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_v").withColumn("cluster", F.col("cluster").cast("int"))
+    """Adds ``cluster``: the cheapest of ``seeds`` runs; k is at most the number of rows and at least 1.
+
+    The input is computed once for all runs and let go after them. Each run is a few passes over vectors of a
+    vocabulary, with k centroids on the driver.
+    """
+    rows = V.with_unit(vectors.select("embedding"), "embedding", "_v").select("_v").persist()
+    try:
+        k = max(1, min(k, rows.count()))
+        if k == 1:
+            return vectors.withColumn("cluster", F.lit(0))
+        fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(rows)
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # a run is many short jobs, which leave room for each other
+            runs = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(seeds)))
+        best = min(runs, key=lambda m: m.summary.trainingCost)
+    finally:
+        rows.unpersist()
+    made = best.transform(V.with_unit(vectors, "embedding", "_v"))
+    return made.drop("_v").withColumn("cluster", F.col("cluster").cast("int"))
 
 
 def ranked_members(members: DataFrame, by: list[str], top: int = L.CLUSTER_TOP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.functions.lists import TONE_RULES
+from voxcorpus.functions.lists import SHOWN_MEASURES, TONE_RULES, UNCERTAIN
 
 SIGNALS = [
     "mean_length", "std_length", "p25_length", "p50_length", "p75_length", "pronoun_ratio_first", "pronoun_ratio_second",
@@ -13,31 +13,31 @@ SIGNALS = [
 ]
 LABELS = tuple(label for label, _ in TONE_RULES)
 
-#: How a signal's value is shown.
-_SHOWN = {
-    "mean_length": ("mean={:}", 1, 1), "std_length": ("std={:}", 1, 1), "p50_length": ("p50={:}", 1, 1),
-    "p75_length": ("p75={:}", 1, 1), "punct_density": ("marks={:}", 1, 1), "fragment_rate": ("fragments={:}%", 100, 0),
-    "pronoun_ratio_second": ("second={:}%", 100, 2), "pronoun_ratio_first": ("first={:}%", 100, 2),
-    "exclamation_rate": ("exclamations={:}%", 100, 1), "question_rate": ("questions={:}%", 100, 1),
-    "has_contractions": ("contractions={:}", 1, 0),
-}
 
+def bounds(least: float | None, most: float | None, closed: bool) -> str:
+    """A trigger's bounds in words."""
+    shown = [f"{x:g}" for x in (least, most) if x is not None]
+    if len(shown) == 2:
+        return f"from {shown[0]} to {shown[1]}" if closed else f"between {shown[0]} and {shown[1]}"
+    over = least is not None
+    return (("at least " if over else "at most ") if closed else ("over " if over else "under ")) + shown[0]
 
-def _fires(signal: str, least: str | None, most: str | None) -> Column:
+
+def _fires(signal: str, least: float | None, most: float | None, closed: bool) -> Column:
     x = F.col(signal)
     out = F.lit(True)
     if least is not None:
-        out = out & (x >= float(least[1:]) if least.startswith("[") else x > float(least))
+        out = out & (x >= least if closed else x > least)
     if most is not None:
-        out = out & (x <= float(most[:-1]) if most.endswith("]") else x < float(most))
+        out = out & (x <= most if closed else x < most)
     return F.coalesce(out, F.lit(False))
 
 
 def _value(signal: str) -> Column:
-    pattern, factor, digits = _SHOWN[signal]
-    before, after = pattern.split("{:}")
+    """A signal's figure as it is shown."""
+    _, factor, digits, unit = SHOWN_MEASURES[signal]
     shown = F.format_number(F.col(signal) * factor, digits)
-    return F.concat(F.lit(before), F.replace(shown, F.lit(","), F.lit("")), F.lit(after))
+    return F.concat(F.replace(shown, F.lit(","), F.lit("")), F.lit(unit))
 
 
 def has_contractions(tokens: Column) -> Column:
@@ -53,7 +53,7 @@ def scores(cadences: DataFrame) -> DataFrame:
     df = df.withColumn("has_contractions", has_contractions(tokens))
     made = {}
     for label, triggers in TONE_RULES:
-        fired = sum((_fires(s, a, b).cast("int") for _, s, a, b in triggers), F.lit(0))
+        fired = sum((_fires(*t).cast("int") for t in triggers), F.lit(0))
         made[f"score_{label}"] = fired / F.lit(float(len(triggers)))
     return df.withColumns(made)
 
@@ -76,7 +76,8 @@ def classify(cadences: DataFrame) -> DataFrame:
     lines = {
         label: F.filter(
             F.array(*[
-                F.when(_fires(s, a, b), F.concat(F.lit(f"{label}: {name} ("), _value(s), F.lit(")"))) for name, s, a, b in triggers
+                F.when(_fires(s, *b), F.concat(F.lit(f"{label}: {SHOWN_MEASURES[s][0]} "), _value(s), F.lit(f", {bounds(*b)}")))
+                for s, *b in triggers
             ]),
             lambda x: x.isNotNull(),
         )
@@ -108,4 +109,4 @@ def classify(cadences: DataFrame) -> DataFrame:
             )
         )
     )
-    return df.withColumn("uncertain", F.col("confidence") < 0.6).withColumn("rationale", rationale).drop("_r")
+    return df.withColumn("uncertain", F.col("confidence") < UNCERTAIN).withColumn("rationale", rationale).drop("_r")

@@ -8,7 +8,7 @@ over counts, not over tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
@@ -117,29 +117,53 @@ def forbidden_candidates(
     )
 
 
+def shown_signature(signature: DataFrame, by: list[str], n: int = L.SHOWN_SIGNATURE) -> DataFrame:
+    """The first n signature words of each group that are worth showing, with their ``place`` among these."""
+    w = Window.partitionBy(*by).orderBy("rank")  # TOP_SIGNATURE rows a group
+    kept = signature.where(~T.is_display_noise(F.col("token")))
+    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*by, "token", "place")
+
+
+def vocabulary_stats(counts: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, brand_unique_tokens, brand_total_tokens, baseline_unique_tokens, baseline_total_tokens``; a group
+    without tokens has no row."""
+    brand = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("brand_unique_tokens"), F.sum("brand_count").alias("brand_total_tokens"))
+    base = _baseline(baseline).agg(
+        F.count(F.lit(1)).alias("baseline_unique_tokens"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("baseline_total_tokens")
+    )
+    return beside(brand, base)
+
+
+def in_cluster_vocabulary(min_count: int = L.CLUSTER_MIN_COUNT) -> Column:
+    """Whether a token is frequent enough and worth showing."""
+    return (F.col("brand_count") >= min_count) & ~T.is_display_noise(F.col("token"))
+
+
 def cluster_vocabulary(counts: DataFrame, min_count: int = L.CLUSTER_MIN_COUNT) -> DataFrame:
     """Tokens frequent enough and worth showing."""
-    return counts.where((F.col("brand_count") >= min_count) & ~T.is_display_noise(F.col("token")))
+    return counts.where(in_cluster_vocabulary(min_count))
 
 
-def tfidf(docs: DataFrame, by: list[str], vocabulary: DataFrame | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, by: list[str], keep: Column | None = None) -> DataFrame:
     """``*by, token, weight``: summed weights of the tokens over the documents of a group.
 
     Smoothed inverse frequencies, ln((1 + n) / (1 + df)) + 1; a document's weights have length one
-    within the vocabulary.
+    within the vocabulary: the tokens that ``keep`` is true of, a condition over ``token`` and ``brand_count``.
+
+    Frequencies are exchanged once, by document and token. Counts and document frequencies are one aggregation
+    of them; both readers share the exchange. A document's weights then meet once, as an array no longer
+    than its vocabulary, for their norm and their sums alike.
     """
     tf = document_counts(docs, by)
-    if vocabulary is not None:
-        tf = join_on(tf, vocabulary.select(*by, "token"), [*by, "token"])
     n = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = join_on(df, n, by) if by else beside(df, n)
+    stats = tf.groupBy(*by, "token").agg(F.sum("tf").alias("brand_count"), F.count(F.lit(1)).alias("df"))
+    if keep is not None:
+        stats = stats.where(keep)
+    idf = join_on(stats, n, by) if by else beside(stats, n)
     idf = idf.select(*by, "token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weighted = join_on(tf, idf, [*by, "token"]).select(*by, "doc_seq", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    # the frequencies come back once for the norms and once for the sums
-    norm = weighted.groupBy(*by, "doc_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (
-        join_on(weighted, norm, [*by, "doc_seq"])
-        .groupBy(*by, "token")
-        .agg(F.sum(F.col("w") / F.col("norm")).alias("weight"))
+    document = weighted.groupBy(*by, "doc_seq").agg(
+        F.collect_list(F.struct("token", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
+    parts = document.select(*by, "norm", F.explode("ws").alias("x"))
+    return parts.groupBy(*by, F.col("x.token").alias("token")).agg(F.sum(F.col("x.w") / F.col("norm")).alias("weight"))

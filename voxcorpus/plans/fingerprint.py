@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
+from voxcorpus.functions.rows import join_on
 from voxcorpus.operators import cadence as C
 from voxcorpus.operators import clusters as K
 from voxcorpus.operators import tone as N
@@ -18,30 +19,35 @@ from voxcorpus.operators import vectors as V
 from voxcorpus.operators import vocabulary as W
 
 BY = ["corpus_id"]
+#: Sentences whose lengths may come to the driver one by one.
+MOST_LENGTHS = 1_000_000
 
 
 def sketch(docs: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row for each corpus, all of it in one plan: cadence, tone, thin flag, signature and avoided
     words, most frequent words. For any number of corpora at once; clusters and exemplars, which
-    need an embedder, are in ``fingerprint``."""
-    docs = docs.where(F.col("corpus_id").isNotNull())
-    counts = W.token_counts(docs, BY).persist()  # read by four of the parts, small against the texts
+    need an embedder, are in ``fingerprint``. Documents without a corpus are a corpus of their own.
+
+    The texts are read twice: for their tokens, whose counts are kept (small against the texts) and read by
+    the three lists of words, and for their sentences. All else joins by corpus.
+    """
+    counts = W.token_counts(docs, BY).persist()
     rates = W.brand_rates(counts, BY)
+    groups = docs.groupBy(*BY).agg(F.count(F.lit(1)).alias("doc_count"))
     signature = W.signature_words(rates, baseline, BY)
-    avoided = W.forbidden_candidates(rates, baseline, docs, BY)
+    avoided = W.forbidden_candidates(rates, baseline, groups, BY)
 
     def packed(df: DataFrame, name: str, *columns: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct("rank", *columns)))
         return df.groupBy(*BY).agg(F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
 
-    out = C.cadence(docs, BY)
+    out = C.cadence(docs, BY, groups=groups)
     for part in (
-        docs.groupBy(*BY).agg(F.count(F.lit(1)).alias("doc_count")),
         packed(signature, "signature_words", "token", "brand_rate", "baseline_rate", "ratio", "brand_count"),
         packed(avoided, "forbidden_words", "token", "brand_rate", "baseline_rate", "ratio", "brand_count"),
         packed(W.top_vocabulary(counts, BY), "top_vocab", "token", "brand_count"),
     ):
-        out = out.join(part, BY, "left")
+        out = join_on(out, part, BY, "left")
     out = out.withColumn("sig_tokens", F.transform("signature_words", lambda x: x["token"]))
     return N.classify(C.target_range(C.is_thin(out)))
 
@@ -71,9 +77,16 @@ def fingerprint(
     source: str = "",
     embedder: V.Embedder | None = None,
     exact: bool = True,
+    baseline_name: str = "baseline",
+    lengths: bool = True,
 ) -> dict:
     """Everything about one corpus, as a dict for the sinks. What comes to the driver are aggregates and
-    top lists of fixed length; documents, sentences and tokens stay in the cluster."""
+    top lists of fixed length; documents, sentences and tokens stay in the cluster.
+
+    exact: sentences may run on over documents, as if the corpus were one text.
+    lengths: the lengths of all sentences in order, up to ``MOST_LENGTHS`` of them; of more the list is None
+    (the histogram and ``C.sentence_lengths``, a table, hold them all).
+    """
     embedder = embedder or V.HashedNgrams()
     stamp = datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     docs = docs.select(F.lit("c").alias("corpus_id"), "doc_seq", "text").persist()
@@ -83,13 +96,19 @@ def fingerprint(
         docs.unpersist()
         return head | {"empty": True}
     clock = Timings({})
+    sentences = C.split_sentences(docs, BY, exact).persist()
 
     def measure_cadence() -> dict:
-        measured = C.measure_sentences(C.split_sentences(docs, BY, exact)).persist()
+        measured = C.measure_sentences(sentences).persist()
         row = _rows(C.aggregate_cadence(measured, BY))
         out = row[0] if row else {"sentence_count": 0, "word_count": 0} | {m: 0.0 for m in C.MEASURES}
         out.pop("corpus_id", None)
         hist = _rows(C.length_histogram(measured, BY).orderBy("bin")) if row else []
+        if lengths and out["sentence_count"] <= MOST_LENGTHS:
+            in_order = C.sentence_lengths(measured).orderBy("doc_seq", "sent_seq").select("n_words").collect()
+            out["sentence_lengths"] = [r["n_words"] for r in in_order]
+        else:
+            out["sentence_lengths"] = None
         measured.unpersist()
         return out | {"histogram": [{k: h[k] for k in ("bin", "lo", "hi", "n", "bar")} for h in hist]}
 
@@ -97,7 +116,7 @@ def fingerprint(
     counts = W.token_counts(docs, BY).persist()
 
     def measure_voice() -> dict:
-        usable = C.split_sentences(docs, BY, exact).where(T.is_usable_sentence(F.col("sentence")))
+        usable = sentences.where(T.is_usable_sentence(F.col("sentence")))
         vectors = V.embed(usable, "sentence", embedder).persist()
         near, far, vocab = [], [], []
         if vectors.limit(1).count():
@@ -117,8 +136,7 @@ def fingerprint(
     voice = clock.of("voice", measure_voice)
 
     def measure_clusters() -> tuple[dict, DataFrame | None]:
-        vocab = W.cluster_vocabulary(counts)
-        weights = W.tfidf(docs, BY, vocab).select("token", "weight")
+        weights = W.tfidf(docs, BY, W.in_cluster_vocabulary()).select("token", "weight").persist()
         members = K.kmeans(V.embed(weights, "token", embedder)).persist()
         size = members.count()
         if not size:
@@ -132,6 +150,7 @@ def fingerprint(
             for r in rows
         ]
         found = members.select("cluster").distinct().count()
+        weights.unpersist()
         return {
             "clusters": clusters, "n_clusters": len(clusters), "n_dropped": found - len(clusters), "vocab_size": size,
             "clustered_tokens": sum(c["size"] for c in clusters),
@@ -180,9 +199,10 @@ def fingerprint(
 
     tone = clock.of("tone", measure_tone)
     counts.unpersist()
+    sentences.unpersist()
     docs.unpersist()
     return head | {
         "thin_corpus": cadence["word_count"] < L.THIN_WORDS, "cadence": cadence, "voice": voice, "clusters": clusters,
-        **vocabulary, "relevance_threshold": L.RELEVANCE, "baseline": "baseline", "tone": tone, "timings_ms": clock.taken,
+        **vocabulary, "relevance_threshold": L.RELEVANCE, "baseline": baseline_name, "tone": tone, "timings_ms": clock.taken,
     }
 

@@ -186,8 +186,7 @@ norm AS (SELECT corpus_id, doc_seq, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL
 SELECT corpus_id, token, round(sum(w / norm), 6) AS weight FROM w JOIN norm USING (corpus_id, doc_seq) GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
-    vocab = W.cluster_vocabulary(W.token_counts(docs, BY))
-    return rounded(W.tfidf(docs, BY, vocab), "weight")
+    return rounded(W.tfidf(docs, BY, W.in_cluster_vocabulary()), "weight")
 
 
 @query(_TOKENS + f" SELECT corpus_id, token, brand_count FROM counts WHERE brand_count >= 3 AND NOT (contains(token, '''') OR token IN ({_quoted(L.URL_NOISE)}) OR length(token) < 4)")
@@ -295,23 +294,23 @@ def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STRIPPED = "replace(regexp_replace(regexp_replace(text, '(?m)^\\s{0,3}#{1,6}\\s+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`', '')"
-_DRAFTS = f"WITH {_DOCS}, drafts AS (SELECT * FROM docs WHERE path LIKE 'drafts/%' AND text IS NOT NULL)"
+_TEXTS = f"WITH {_DOCS}, texts AS (SELECT * FROM docs WHERE text IS NOT NULL)"
 
 
-@query(f"{_DRAFTS} SELECT corpus_id, doc_seq, coalesce(regexp_extract(text, '(?m)^\\s*#\\s+(.+?)\\s*$', 1), '') AS heading, {_STRIPPED} AS text FROM drafts")
+@query(f"{_TEXTS} SELECT corpus_id, doc_seq, coalesce(regexp_extract(text, '(?m)^\\s*#\\s+(.+?)\\s*$', 1), '') AS heading, {_STRIPPED} AS text FROM texts")
 def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d).where(F.col("path").startswith("drafts/") & F.col("text").isNotNull())
+    docs = corpus(spark, d).where(F.col("text").isNotNull())
     return docs.select(*BY, "doc_seq", T.markdown_heading(F.col("text")).alias("heading"), T.strip_markdown(F.col("text")).alias("text"))
 
 
-@query(f"""{_DRAFTS}, parts AS (
-  SELECT corpus_id, doc_seq, path, trim(regexp_extract(text, '(?m)^\\s*#\\s+(.+?)\\s*$', 1)) AS heading, {_SQUEEZE.format('text')} AS squeezed FROM drafts
+@query(f"""{_TEXTS}, parts AS (
+  SELECT corpus_id, doc_seq, path, trim(regexp_extract(text, '(?m)^\\s*#\\s+(.+?)\\s*$', 1)) AS heading, {_SQUEEZE.format('text')} AS squeezed FROM texts
 ), lines AS (
   SELECT *, trim(list_filter(string_split(squeezed, chr(10)), lambda x: trim(x) <> '')[1]) AS first,
          regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM parts
 ) SELECT corpus_id, doc_seq, CASE WHEN heading <> '' THEN heading[1:120] WHEN length(first) <= 120 THEN first ELSE stem END AS title FROM lines""")
 def title_pick(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d).where(F.col("path").startswith("drafts/") & F.col("text").isNotNull())
+    docs = corpus(spark, d).where(F.col("text").isNotNull())
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     title = T.pick_title(T.markdown_heading(F.col("text")), T.normalize_whitespace(F.col("text")), stem)
     return docs.select(*BY, "doc_seq", title.alias("title"))
@@ -319,9 +318,8 @@ def title_pick(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The folder source over the drafts as if they were files."""
-    docs = corpus(spark, d).where(F.col("path").startswith("drafts/"))
-    return documents_of_files(docs, F.concat_ws("/", "corpus_id", "path"), F.col("text"))
+    """The folder source over all documents as if they were files."""
+    return documents_of_files(corpus(spark, d), F.concat_ws("/", "corpus_id", "path"), F.col("text"))
 
 
 _SEPARATED = " OR ".join(
@@ -332,11 +330,10 @@ _SEPARATED = " OR ".join(
 
 @query(f"""WITH {_DOCS}, lines AS (
   SELECT corpus_id, doc_seq, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line
-  FROM docs WHERE split_part(path, '/', 1) LIKE '%.%'
+  FROM docs
 ) SELECT corpus_id, doc_seq, line_no FROM lines WHERE {_SEPARATED}""")
 def breadcrumb_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d).where(F.substring_index("path", "/", 1).contains("."))
-    lines = docs.select(*BY, "doc_seq", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = corpus(spark, d).select(*BY, "doc_seq", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.where(T.is_trail(F.col("line"))).select(*BY, "doc_seq", (F.col("pos") + 1).alias("line_no"))
 
 
@@ -392,12 +389,21 @@ _SCHEME = f"regexp_extract(url, {_PARTS}, 1)"
   SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS hs FROM pages WHERE html IS NOT NULL
 ), found AS (
   SELECT page_id, url, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER) AS position, trim(unnest(hs)) AS href FROM hrefs
+), parted AS (
+  SELECT *, regexp_extract(href, '^[^?#;]*') AS bare FROM found
+), joined AS (
+  SELECT *, CASE WHEN starts_with(bare, '/') THEN bare ELSE regexp_replace({_sql_path('url')}, '[^/]*$', '') || bare END AS whole FROM parted
+), undotted AS (
+  SELECT *, string_split(whole, '/') AS segments FROM joined
+), resolved AS (
+  SELECT *, list_reduce(list_filter(segments[2:], lambda s, i: s <> '.' AND (s <> '' OR starts_with(bare, '/') OR i = len(segments) - 1)),
+      lambda done, s: CASE WHEN s = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END, '')
+    || CASE WHEN segments[-1] IN ('.', '..') THEN '/' ELSE '' END AS undot FROM undotted
 ), full_links AS (
   SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
     WHEN starts_with(href, '//') THEN {_SCHEME} || ':' || href
-    WHEN starts_with(href, '/') THEN {_SCHEME} || '://' || {_sql_host('url')} || href
-    WHEN href = '' OR starts_with(href, '#') OR starts_with(href, '?') THEN url
-    ELSE {_SCHEME} || '://' || {_sql_host('url')} || regexp_replace({_sql_path('url')}, '[^/]*$', '') || href END AS full_link FROM found
+    WHEN bare = '' THEN url
+    ELSE {_SCHEME} || '://' || {_sql_host('url')} || CASE WHEN undot = '' THEN '/' ELSE undot END END AS full_link FROM resolved
 ), links AS (SELECT page_id, position, {_sql_host('url')} AS host, {_sql_normal('full_link')} AS link FROM full_links)
 SELECT page_id, min(position) AS position, link FROM links
 WHERE link <> '' AND {_sql_host('link')} = host AND NOT {_sql_skip(_sql_path('link'))} GROUP BY page_id, link""")
@@ -426,17 +432,14 @@ _RUNS = """runs AS (
 ) + ", CASE WHEN len(list_filter(coalesce(r.sig_tokens, []), lambda t: contains(t, ''''))) > 0 THEN 1.0 ELSE 0.0 END AS has_contractions FROM runs)"
 
 
-def _sql_fires(signal: str, least: str | None, most: str | None) -> str:
-    parts = []
-    if least:
-        parts.append(f"{signal} >= {least[1:]}" if least.startswith("[") else f"{signal} > {least}")
-    if most:
-        parts.append(f"{signal} <= {most[:-1]}" if most.endswith("]") else f"{signal} < {most}")
+def _sql_fires(signal: str, least: float | None, most: float | None, closed: bool) -> str:
+    parts = [] if least is None else [f"{signal} {'>=' if closed else '>'} {least}"]
+    parts += [] if most is None else [f"{signal} {'<=' if closed else '<'} {most}"]
     return f"CAST({' AND '.join(parts)} AS INTEGER)"
 
 
 _SCORES = "scored AS (SELECT *, " + ", ".join(
-    "(" + " + ".join(_sql_fires(s, a, b) for _, s, a, b in triggers) + f") / {len(triggers)}.0 AS score_{label}" for label, triggers in L.TONE_RULES
+    "(" + " + ".join(_sql_fires(*t) for t in triggers) + f") / {len(triggers)}.0 AS score_{label}" for label, triggers in L.TONE_RULES
 ) + " FROM flat)"
 _SCORE_NAMES = [f"score_{x}" for x in N.LABELS]
 
@@ -463,11 +466,6 @@ def tone_label(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("corpus_id", "run_no", "primary_tone", "secondary_tone", "confidence", "uncertain"), "confidence")
 
 
-@query()
-def tone_rationale(spark: SparkSession, d: str) -> DataFrame:
-    return N.classify(cadence_runs(spark, d)).select("corpus_id", "run_no", F.array_join("rationale", " | ").alias("rationale"))
-
-
 # Vectors and clusters
 
 _UNIT = """norms AS (SELECT vec_id, label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings WHERE embedding IS NOT NULL),
@@ -530,13 +528,13 @@ def cluster_exemplar(spark: SparkSession, d: str) -> DataFrame:
     return K.exemplars(_vectors(spark, d), ["label"], "vec_id").withColumnRenamed("centroid_token", "exemplar")
 
 
-@query(f"""WITH {_UNIT}, {_sql_middle('label')}, few AS (SELECT * FROM middle WHERE label < 6),
-cosines AS (SELECT vec_id, u.label, f.label AS cluster, sum(x * c) AS cosine FROM units u JOIN few f USING (pos) GROUP BY ALL)
+@query(f"""WITH {_UNIT}, {_sql_middle('label')},
+cosines AS (SELECT vec_id, f.label AS cluster, sum(x * c) AS cosine FROM units u JOIN middle f USING (pos) GROUP BY ALL)
 SELECT vec_id, round(1.0 - max(cosine), 6) AS min_cluster_distance, 1.0 - max(cosine) <= 0.55 AS stylistic FROM cosines GROUP BY vec_id""")
 def forbidden_semantic_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as candidates, the centroids of six labels as clusters."""
+    """Embeddings as candidates, the centroids of the labels as clusters."""
     rows = _vectors(spark, d)
-    middles = V.centroids(rows.where("label < 6"), ["label"])
+    middles = V.centroids(rows, ["label"])
     return rounded(V.semantic_partition(rows, middles).select("vec_id", "min_cluster_distance", "stylistic"), "min_cluster_distance")
 
 

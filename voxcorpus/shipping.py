@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 from pathlib import Path
+import shutil
 import tempfile
 import threading
 import zipfile
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
         if context.applicationId in _shipped:
             return
         package = Path(__file__).parent
-        archive = Path(tempfile.mkdtemp(prefix="voxcorpus-")) / "voxcorpus.zip"
+        folder = tempfile.mkdtemp(prefix="voxcorpus-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it as long as it runs
+        archive = Path(folder) / "voxcorpus.zip"
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for path in sorted(package.rglob("*.py")):
                 z.write(path, path.relative_to(package.parent))

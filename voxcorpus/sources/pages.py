@@ -7,15 +7,18 @@ from dataclasses import dataclass
 import heapq
 import re
 import time
+import urllib.error
 from urllib.parse import urljoin, urlparse
+import urllib.request
 from urllib.robotparser import RobotFileParser
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxcorpus.functions import html as H
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import url as U
+from voxcorpus.functions.rows import running
 
 _HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -75,13 +78,52 @@ def priority(path: str) -> int:
     return 4 if re.match("/(?:services|pricing|work|portfolio|case-studies)(?:/|$)", p) else 2
 
 
+class TableFetcher:
+    """Pages of one host out of a table. Addresses a crawl is about to fetch are looked up together, in one job
+    for all of them, and kept until they are asked for."""
+
+    def __init__(self, pages: DataFrame, host: str) -> None:
+        own = pages.where(U.host(F.col("url")) == host.lower())
+        self.own = own.select(U.normalize(F.col("url")).alias("u"), "html", "status_code").persist()
+        self.held: dict[str, Fetched] = {}
+
+    def prefetch(self, urls: list[str]) -> None:
+        wanted = [u for u in urls if u not in self.held]
+        if not wanted:
+            return
+        first = self.own.where(F.col("u").isin(wanted)).groupBy("u").agg(F.min_by(F.struct("html", "status_code"), F.coalesce("status_code", F.lit(200))).alias("p"))
+        for r in first.collect():
+            self.held[r["u"]] = Fetched(r["p"]["status_code"] or 200, "text/html", r["p"]["html"] or "")
+        for u in wanted:
+            self.held.setdefault(u, Fetched(404, "text/html", ""))
+
+    def __call__(self, url: str) -> Fetched:
+        self.prefetch([url])
+        return self.held[url]
+
+
 def table_fetcher(pages: DataFrame, host: str) -> Fetcher:
-    """Pages of one host out of a table; a crawl of n pages looks up n rows."""
-    own = pages.where(U.host(F.col("url")) == host.lower()).select(U.normalize(F.col("url")).alias("u"), "html", "status_code").persist()
+    return TableFetcher(pages, host)
+
+
+def http_fetcher(agent: str = "voxcorpus", timeout: float = 10.0, most_bytes: int = 20_000_000) -> Fetcher:
+    """Pages over HTTP: redirects are followed, an error status is an answer, no answer within the time limit an
+    exception. Of a body no more than ``most_bytes`` is taken."""
 
     def fetch(url: str) -> Fetched:
-        row = own.where(F.col("u") == url).first()
-        return Fetched(404, "text/html", "") if row is None else Fetched(row["status_code"] or 200, "text/html", row["html"] or "")
+        request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": "text/html,*/*;q=0.5"})
+        try:
+            answer = urllib.request.urlopen(request, timeout=timeout)
+        except urllib.error.HTTPError as e:
+            return Fetched(e.code, e.headers.get("Content-Type", ""), "")
+        with answer:
+            charset = answer.headers.get_content_charset() or "utf-8"
+            body = answer.read(most_bytes)
+            try:
+                text = body.decode(charset, "replace")
+            except LookupError:
+                text = body.decode("utf-8", "replace")
+            return Fetched(answer.status, answer.headers.get("Content-Type", "text/html"), text)
 
     return fetch
 
@@ -105,6 +147,8 @@ def crawl(
             robots.parse([])
         queue, known, visited, n = [(-priority(origin.path), 0, root)], {root}, 0, 0
         while queue and visited < max_pages:
+            if hasattr(fetch, "prefetch"):  # those that come next as far as is known, in one look-up
+                fetch.prefetch([u for _, _, u in heapq.nsmallest(max_pages - visited, queue)])
             _, _, url = heapq.heappop(queue)
             visited += 1
             path = urlparse(url).path or "/"
@@ -139,5 +183,5 @@ def crawl_order(pages: DataFrame) -> DataFrame:
     )
     rows = rows.where((F.col("link") != "") & ~U.should_skip(U.path(F.col("link"))))
     once = rows.groupBy("host", "link").agg(F.min("page_id").alias("page_id"), F.max("priority").alias("priority"))
-    w = Window.partitionBy("host").orderBy(F.desc("priority"), "page_id")
-    return once.select("host", "page_id", "link", "priority", F.row_number().over(w).alias("place"))
+    placed = running(once, ["host"], [-F.col("priority")], "page_id", F.lit(1), "earlier")
+    return placed.select("host", "page_id", "link", "priority", (F.col("earlier") + 1).cast("int").alias("place"))

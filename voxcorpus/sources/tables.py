@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxcorpus.functions.rows import join_on
+
 DOCUMENT = "corpus_id string, doc_seq int, path string, title string, text string"
 
 
@@ -14,13 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def first_delivery(df: DataFrame, key: list[str], order: str, tie: list[str] | None = None) -> DataFrame:
+#: Most keys delivered again that are sent to all tasks (some 30 MB); beyond, rows are shuffled by key.
+MOST_REPEATED = 500_000
+
+
+def first_delivery(df: DataFrame, key: list[str], order: str, tie: list[str] | None = None, most: int = MOST_REPEATED) -> DataFrame:
     """One row for each key, the one delivered first; null keys are a key of their own, undated rows come
     last. Of deliveries at the same time the one counts that is least by ``tie``.
 
-    One exchange and one sort by the key. A row is first if none precedes it (a rank instead of the
-    lag would sort all rows before the exchange too). Columns that a plan does not use are not read.
+    A job over the keys and times alone counts the keys that come again. If they are ``most`` or fewer, they
+    are sent to all tasks, and later rows are left out where they are read: nothing else is shuffled, and no text
+    unless deliveries of a key have the same time. Else all rows meet by key.
     """
+    keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    again = keys.where("_n > 1").drop("_n")
+    if again.limit(most + 1).count() > most:
+        return _least(df, key, order, tie)
+    marked = join_on(df, F.broadcast(again.withColumn("_again", F.lit(True))), key, "left")
+    first = F.col("_again").isNull() | F.col(order).eqNullSafe(F.col("_first"))
+    kept = marked.where(first)
+    # rows of one key with one time are rare; they meet by key
+    same = marked.where(F.col("_again")).where(first).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    if not same.isEmpty():
+        kept = join_on(kept, F.broadcast(same.withColumn("_same", F.lit(True))), key, "left")
+        alone = kept.where(F.col("_same").isNull()).select(df.columns)
+        return alone.unionByName(_least(kept.where(F.col("_same")).select(df.columns), key, order, tie))
+    return kept.select(df.columns)
+
+
+def _least(df: DataFrame, key: list[str], order: str, tie: list[str] | None) -> DataFrame:
+    """One exchange and one sort by the key. A row is first if none precedes it (a rank instead of the lag would
+    sort all rows before the exchange too)."""
     w = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie or []])
     return df.withColumn("_before", F.lag(F.lit(1)).over(w)).where(F.col("_before").isNull()).drop("_before")
 
