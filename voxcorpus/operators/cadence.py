@@ -116,12 +116,11 @@ def length_histogram(measured: DataFrame, by: list[str], bins: int = 10, width:
     length is widened by a half on both sides."""
     # one row for each length of a group, then one for each group: as many entries as there are lengths
     counted = measured.groupBy(*by, "n_words").agg(F.count(F.lit(1)).alias("n"))
-    packed = counted.groupBy(*by).agg(F.collect_list(F.struct("n_words", "n")).alias("h"))
-    ends = packed.select(*by, "h", F.transform("h", lambda x: x["n_words"].cast("double")).alias("ls")).select(
-        *by, "h", F.array_min("ls").alias("a"), F.array_max("ls").alias("b")
+    packed = counted.groupBy(*by).agg(
+        F.collect_list(F.struct("n_words", "n")).alias("h"), F.min("n_words").cast("double").alias("a"), F.max("n_words").cast("double").alias("b")
     )
     half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
-    wide = ends.select(*by, "h", (F.col("a") - half).alias("lo0"), (F.col("b") + half).alias("hi0"))
+    wide = packed.select(*by, "h", (F.col("a") - half).alias("lo0"), (F.col("b") + half).alias("hi0"))
     wide = wide.withColumn("step", (F.col("hi0") - F.col("lo0")) / bins)
 
     def filled(k: Column) -> Column:

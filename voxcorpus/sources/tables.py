@@ -51,10 +51,18 @@ def _least(df: DataFrame, key: list[str], order: str, tie: list[str] | None) ->
     return df.withColumn("_before", F.lag(F.lit(1)).over(w)).where(F.col("_before").isNull()).drop("_before")
 
 
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (a small file is one part) in as many as these, so
+    that what is done with its texts is not done by one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``corpus_id, doc_seq, path, title, text`` of documents_in; rows delivered twice count once."""
     rows = table(spark, sf_dir, "documents_in").select("corpus_id", "doc_seq", "path", "title", "text", "loaded_at")
-    return first_delivery(rows, ["corpus_id", "doc_seq"], "loaded_at", ["text"]).drop("loaded_at")
+    key = ["corpus_id", "doc_seq"]
+    return spread(first_delivery(rows, key, "loaded_at", ["text"]).drop("loaded_at"), key)
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
