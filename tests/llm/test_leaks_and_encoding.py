@@ -154,6 +154,31 @@ def test_a_longer_stretch_of_which_only_stock_phrases_are_left():
     assert S.Index(items).search([text]) == [(0, 0)]
 
 
+def test_what_is_left_out_loses_no_leak():
+    """Items of one stock text: all their shingles are shared, so as many as may be are left out. Any run and any
+    stretch with the most others allowed, wherever they stand, is still found."""
+    rng = random.Random(8)
+    stock = [f"s{k}" for k in range(70)]
+    items = [(n, " ".join(stock[:60 + n])) for n in range(4)]
+    index = S.Index(items)
+    assert len(index.item) < sum(60 + n - 4 for n in range(4))
+    for k in range(58):
+        assert {i for _, i in index.search([" ".join(["a"] + stock[k : k + 13] + ["b"])])} == {n for n, _ in items if k + 13 <= 60 + n}
+    for _ in range(400):
+        size = rng.choice([30, 34, 35, 36, 41, 42, 48, 49, 56, 60])
+        begin = rng.randrange(60 - size + 1)
+        part = stock[begin : begin + size]
+        if rng.random() < 0.5:  # evenly: every sixth or seventh
+            step = rng.choice([6, 7])
+            gone = list(range(rng.randrange(1, step), size - 1, step))
+        else:
+            gone = rng.sample(range(1, size - 1), size // 7)
+        gone = [g for g in gone if g - 1 not in gone][: size // 7]
+        text = " ".join("other" if k in gone else w for k, w in enumerate(part))
+        want = {n for n, t in items if brute(text, t)}
+        assert {i for _, i in index.search([text])} == want and want
+
+
 @pytest.mark.parametrize(("right", "wrong"), [c for c in E.CHAINS if c[1] != "utf-8"])
 def test_texts_are_turned_back_under_every_chain(right, wrong):
     """Of the texts a chain can garble without loss, at least nine in ten come back whole. Cyrillic in Shift-JIS

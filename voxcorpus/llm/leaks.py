@@ -1,23 +1,25 @@
 """Documents that hold passages of held-out evaluation items.
 
-Method: set join on shingles (five words). A leak holds ``RUN`` words of an item in a row, or
-a stretch of ``STRETCH`` words or more of which single ones, one in ``ONE_IN``, are others.
-Either leaves one shingle at least: were all runs of a stretch of L words with k others under
-five words, L - k <= 4 (k + 1) with k <= L / 7 would give L <= 14. No rarer part of the
-shingles would do for every L, so all those of the items are joined. A hit fixes the item and the offset of document
-against item (positional bound); the item-sized window of the document at that offset is
-then compared word by word, which is exact.
-
-Items are the small side: they go to the tasks in blocks of at most ``BLOCK_ITEMS`` items
-and ``BLOCK_CHARS`` characters, as many blocks as there must be; documents are never
-shuffled and pairs of documents never formed.
+Method: prefix-filtered set join on shingles (five words). A leak holds ``RUN`` words of an item in a
+row, or a stretch of ``STRETCH`` words or more of which single ones, one in ``ONE_IN``, are others. Of
+an item's shingles, ordered by rarity, the commonest are left out as long as every leak must keep one
+of the others (``necessary``): a run keeps all nine shingles of its 13 words; a stretch of L words with
+k = L // 7 others keeps at least L - k - 4 (k + 1), so each window of L may miss one fewer than that,
+for every L. The rest are joined. A hit fixes the item and the offset of document against item
+(positional bound), item and document must leave room for a leak there (length bound); the item-sized
+window of the document at that offset is then compared word by word, which is exact.
+
+Items are the small side: their texts go to the tasks in blocks of at most ``BLOCK_ITEMS`` items
+and ``BLOCK_CHARS`` characters, as many blocks as there must be, and each worker builds a block's index
+once. Documents are never shuffled and pairs of documents never formed.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 import re
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ SHINGLE = 5
 RUN = 13
 STRETCH = 30
 ONE_IN = 7
-BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 32_000_000
+BLOCK_ITEMS = 100_000
+BLOCK_CHARS = 64_000_000
 
 _MARKS = re.compile(r"[^\w\s–—―]+|_+")
 _DASHES = re.compile(r"[–—―]")
@@ -74,30 +76,74 @@ def leaked(same: np.ndarray) -> bool:
     return False
 
 
+@lru_cache(maxsize=4096)
+def least_kept(words: int) -> int:
+    """Shingles a stretch of so many words keeps at least."""
+    k = words // ONE_IN
+    return words - k - (SHINGLE - 1) * (k + 1)
+
+
+def necessary(counts: np.ndarray) -> np.ndarray:
+    """Which of an item's shingles must be joined, given how often each occurs in all items. The commonest
+    shared ones are left out one by one, where no run and no stretch could then be missed."""
+    m = len(counts)
+    kept = np.ones(m, bool)
+    left = np.zeros(m + 1, int)  # left[i]: shingles left out before position i
+    run = RUN - SHINGLE + 1
+    lengths = np.arange(STRETCH, m + SHINGLE)
+    spare = np.array([least_kept(int(x)) - 1 for x in lengths])
+    for i in np.argsort(-counts, kind="stable"):
+        if counts[i] < 2:
+            break
+        trial = left.copy()
+        trial[i + 1 :] += 1
+        lo, hi = max(0, i - run + 1), min(i, m - run)
+        bad = any(trial[b + run] - trial[b] == run for b in range(lo, hi + 1))
+        if not bad:
+            for x, most in zip(lengths, spare):
+                size = x - SHINGLE + 1
+                begin = np.arange(max(0, i - size + 1), min(i, m - size) + 1)
+                if len(begin) and (trial[begin + size] - trial[begin]).max() > most:
+                    bad = True
+                    break
+        if not bad:
+            kept[i], left = False, trial
+    return kept
+
+
 class Index:
-    """Shingles of a block of items."""
+    """Shingles of a block of items: sorted hashes and, as arrays, where they stand. Items of one text are one."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.numbers = [n for n, _ in items]
-        texts = [words(t) for _, t in items]
+        numbers: dict[tuple[str, ...], list[int]] = {}
+        for n, text in items:
+            numbers.setdefault(tuple(words(text)), []).append(n)
+        numbers = {t: n for t, n in numbers.items() if len(t) >= RUN}
+        self.numbers = list(numbers.values())
         self.vocabulary: dict[str, int] = {}
-        for t in texts:
+        for t in numbers:
             for w in t:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.ids = [np.array([self.vocabulary[w] for w in t], "int64") for t in texts]
-        hashes = [shingle_hashes(i)[: max(0, len(i) - SHINGLE + 1)] for i in self.ids]
-        at = defaultdict(list)
-        for n, item in enumerate(hashes):
-            for i, h in enumerate(item.tolist()):
-                at[h].append((n, i))
-        self.shingles = np.array(sorted(at), "uint64")
-        self.postings = [at[int(h)] for h in self.shingles]
+        self.ids = [np.array([self.vocabulary[w] for w in t], "int64") for t in numbers]
+        each = [shingle_hashes(i)[: len(i) - SHINGLE + 1] for i in self.ids]
+        flat = np.concatenate([*each, np.zeros(0, "uint64")])
+        item = np.repeat(np.arange(len(each)), [len(h) for h in each])
+        at = np.concatenate([np.arange(len(h)) for h in each] + [np.zeros(0, int)])
+        _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = count[place] if len(flat) else np.zeros(0, int)
+        ends = np.cumsum([0] + [len(h) for h in each])
+        kept = np.concatenate([necessary(often[x:y]) if often[x:y].max(initial=0) > 1 else np.ones(y - x, bool) for x, y in zip(ends, ends[1:])] + [np.zeros(0, bool)])
+        flat, item, at = flat[kept], item[kept], at[kept]
+        order = np.argsort(flat, kind="stable")
+        self.item, self.at = item[order].astype("int32"), at[order].astype("int32")
+        self.shingles, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
 
     def search(self, documents: list[str | None]) -> list[tuple[int, int]]:
-        """(position of the document, position of the item) of all leaks."""
+        """(position of the document, item number) of all leaks."""
         get = self.vocabulary.get
         texts = [[get(w, 0) for w in words(t)] for t in documents]
-        starts = np.cumsum([0] + [len(t) + SHINGLE for t in texts])
+        sizes = np.array([len(t) for t in texts], "int64")
+        starts = np.concatenate([[0], np.cumsum(sizes + SHINGLE)])
         flat = np.zeros(starts[-1], "int64")
         for s, t in zip(starts, texts):
             flat[s : s + len(t)] = t
@@ -107,21 +153,37 @@ class Index:
         place = np.searchsorted(self.shingles, h)
         place[place == len(self.shingles)] = 0
         hits = np.nonzero(self.shingles[place] == h)[0]
-        tried: set[tuple[int, int, int]] = set()
+        if not len(hits):
+            return []
+        # every posting of every hit, as (document, item, offset), each once
+        n = self.count[place[hits]]
+        posting = np.repeat(self.first[place[hits]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        doc = np.repeat(np.searchsorted(starts, hits, side="right") - 1, n)
+        item = self.item[posting].astype("int64")
+        offset = np.repeat(hits, n) - starts[doc] - self.at[posting]
+        long = np.array([len(i) for i in self.ids])
+        room = np.minimum(long[item], sizes[doc] - offset) - np.maximum(0, -offset)
         found: set[tuple[int, int]] = set()
-        owner = np.searchsorted(starts, hits, side="right") - 1
-        for p, d in zip(hits.tolist(), owner.tolist()):
-            for item, i in self.postings[place[p]]:
-                offset = p - int(starts[d]) - i
-                if (d, item) in found or (d, item, offset) in tried:
-                    continue
-                tried.add((d, item, offset))
-                ids = self.ids[item]
-                lo, hi = max(0, -offset), min(len(ids), len(texts[d]) - offset)
-                begin = int(starts[d]) + offset
-                if hi - lo >= RUN and leaked(ids[lo:hi] == flat[begin + lo : begin + hi]):
-                    found.add((d, item))
-        return sorted(found)
+        for d, i, o in np.unique(np.stack([doc, item, offset], 1)[room >= RUN], axis=0).tolist():
+            if (d, i) in found:
+                continue
+            ids = self.ids[i]
+            lo, hi = max(0, -o), min(len(ids), len(texts[d]) - o)
+            begin = int(starts[d]) + o
+            if leaked(ids[lo:hi] == flat[begin + lo : begin + hi]):
+                found.add((d, i))
+        return sorted((d, number) for d, i in found for number in self.numbers[i])
+
+
+#: The last index a worker built, so that its next task has it.
+_built: dict[str, Index] = {}
+
+
+def _index_of(key: str, texts) -> Index:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(texts.value)
+    return _built[key]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -142,20 +204,17 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     docs = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     for block in _blocks(items):
-        broadcast = documents.sparkSession.sparkContext.broadcast(Index(block))
+        texts = documents.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], index=broadcast) -> Iterator[pa.RecordBatch]:
-            index = index.value
+        def run(batches: Iterator[pa.RecordBatch], key=uuid4().hex, texts=texts) -> Iterator[pa.RecordBatch]:
+            index = _index_of(key, texts)
             for batch in batches:
                 for cut in range(0, batch.num_rows, 1000):
                     part = batch.slice(cut, 1000)
                     found = index.search(part.column(1).to_pylist())
                     ids = part.column(0).to_pylist()
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[d] for d, _ in found], pa.int64()),
-                            pa.array([index.numbers[i] for _, i in found], pa.int64()),
-                        ],
+                        [pa.array([ids[d] for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())],
                         names=["doc_id", "item_id"],
                     )
 
