@@ -1,6 +1,7 @@
 import pytest
 
 from voxcorpus.llm import sentences as S
+from voxcorpus.llm.lexicon import count_pieces, learn
 from voxcorpus.llm.sentences import sentence_spans, sentence_units, sentences
 
 CASES = [
@@ -95,3 +96,30 @@ def test_chinese_and_japanese_without_terminators(text, want):
 def test_a_long_run_is_cut_as_a_whole():
     text = "字" * 200_000 + "了 但是" + "字" * 200_000
     assert len(sentences(text)) == 2
+
+
+def test_blanks_of_scripts_with_full_stops_and_of_short_phrases():
+    for text, want in (
+        ("ສະບາຍດີ ເຈົ້າ ສະບາຍດີ ບໍ່", 1), ("ខ្ញុំទៅផ្សារ ហើយ ទិញ បាយ។ គាត់មកផ្ទះ", 2), ("မြန်မာ စာ ကောင်း သည်။ သူ လာ သည်။", 2), ("เราแก้ไขหน้าแล้ว เสียงของเราชัดเจน", 2),
+    ):
+        assert len(sentences(text)) == want, text
+
+
+def test_a_lexicon_is_learned_and_decides_where_marks_are_missing(spark):
+    told = [f"{a}は{b}を{c}。" for a in ("短文", "記録", "口調") for b in ("印象", "説明", "会議") for c in ("支える", "減らす", "示した")]
+    rows = [(i, "".join(told[i % 27 :] + told[: i % 5]) + ("\n\n" if i % 2 else "")) for i in range(40)] + [(90, None), (91, ""), (92, "plain")]
+    lexicon = learn(spark.createDataFrame(rows, "doc_seq int, text string"))
+    words = lexicon.words("短文は印象を支える")
+    assert "".join(words) == "短文は印象を支える" and 1 < len(words) < 6
+    assert lexicon.closing[words[-1]] > 1 > lexicon.closing[words[0]] and lexicon.opening[words[0]] > 1 > lexicon.opening[words[-1]]
+    text = "短文は印象を支える 記録は説明を減らす 口調は 会議を示した"
+    assert [text[a:b] for a, b in sentences(text, lexicon)] == ["短文は印象を支える", "記録は説明を減らす", "口調は 会議を示した"]
+    assert len(sentences(text)) == 1
+    assert learn(spark.createDataFrame(rows[-3:], "doc_seq int, text string")) is None
+    assert learn(spark.createDataFrame([], "doc_seq int, text string")) is None
+
+
+def test_counts_of_pieces_against_a_plain_count(spark):
+    texts = ["他们来了。他们走了！\n\n来了 12 走", "เรา 9 ไป", None, "了" * 3000]
+    got = {(r["piece"], r["n"], r["ends"], r["begins"]) for r in count_pieces(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert {("他们", 2, 0, 2), ("来了", 2, 1, 1), ("走了", 1, 1, 0), ("走", 2, 1, 0), ("เรา", 1, 0, 1), ("ไป", 1, 1, 0), ("了", 3003, 3, 1)} <= got

@@ -6,13 +6,16 @@ node to another. A node's score says how much it looks like an end (abbreviation
 initials, ordinals, times, the word that follows), and pays for brackets and quotations
 it cuts open. The best path is found by dynamic programming; an edge may pass any number of nodes.
 
-Scripts without blanks between words are cut into words first: a lattice over a small
-dictionary of function words, unknown runs between them, fewest costs win. The gaps
-(blanks; in Chinese and Japanese terminators too) are then classified by the word before
-(final particles) and the word after (opening words). Chinese and Japanese terminators
-other than dots decide by themselves.
+Scripts without blanks between words are cut into words first: a lattice over a dictionary,
+unknown runs between the words, fewest costs win. The gaps (blanks; in Chinese and Japanese
+terminators too) are then classified by the word before (final particles) and the word after
+(opening words). Chinese and Japanese terminators other than dots decide by themselves.
 
-Pure Python on one text; texts are never shuffled.
+The dictionary is learned from the collection (``lexicon.py``) beside a fixed list of function
+words, and with it how much each word speaks for an end before or a beginning behind it: by
+how often it stands at the sure ends of the collection (full stops of its script, paragraphs).
+
+Segmentation is pure Python on one text; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxcorpus.llm.common import KEY, flat_map, in_folder
+from voxcorpus.llm.lexicon import Lexicon, learn
 
 # Abbreviations, without their last full stop, in lower case.
 #: Stand before a name or a figure and never end a sentence.
@@ -104,6 +108,10 @@ _STRETCH = re.compile(
 
 _BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _BLANKED = re.compile("[฀-໿က-႟ក-៿]")
+_THAI = re.compile("[฀-๿]")
+_BLANKED_STOP = re.compile("[។៕။]")
+#: Letters and marks a Lao, Khmer or Burmese sentence hardly stays under.
+LEAST_LETTERS = 12
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _OPEN = "([{（［｛「『【〈《〔"
 _CLOSE = ")]}）］｝」』】〉》〕"
@@ -349,11 +357,12 @@ def lattice_words(text: str) -> list[str]:
 class Stretches:
     """The runs of a text between blanks and punctuation, each cut into words as a whole and once."""
 
-    def __init__(self, text: str) -> None:
-        self.text = text
+    def __init__(self, text: str, lexicon: Lexicon | None = None) -> None:
+        self.text, self.lexicon = text, lexicon
         spans = [m.span() for m in _STRETCH.finditer(text)]
         self.begins, self.ends = [a for a, _ in spans], [b for _, b in spans]
         self.edges: dict[int, tuple[str, str]] = {}
+        self.learned: dict[int, tuple[str, str]] = {}
 
     def edge(self, k: int) -> tuple[str, str]:
         """First and last word of a run."""
@@ -362,39 +371,65 @@ class Stretches:
             self.edges[k] = words[0], words[-1]
         return self.edges[k]
 
-    def around(self, a: int, b: int) -> tuple[str, str]:
-        """The last word of text[:a] and the first of text[b:], past quotation marks and brackets."""
-        left = a - len(self.text[max(0, a - 24) : a]) + len(self.text[max(0, a - 24) : a].rstrip(_CLOSERS + "。！？!?…."))
-        near = self.text[b : b + 24]
-        right = b + len(near) - len(near.lstrip("\"'“„«‘‹([{（「『"))
+    def runs(self, a: int, b: int) -> tuple[int, int]:
+        """The numbers of the run that ends before text[a:] and of the one that begins behind text[:b], past
+        quotation marks and brackets; -1 for none."""
+        left = a
+        while left and self.text[left - 1] in _CLOSERS + "。！？!?….":
+            left -= 1
+        right = b
+        while right < len(self.text) and self.text[right] in "\"'“„«‘‹([{（「『":
+            right += 1
         i, j = bisect_left(self.ends, left), bisect_left(self.begins, right)
-        closes = self.edge(i)[1] if i < len(self.ends) and self.ends[i] == left else ""
-        opens = self.edge(j)[0] if j < len(self.begins) and self.begins[j] == right else ""
-        return closes, opens
+        return (
+            i if i < len(self.ends) and self.ends[i] == left else -1,
+            j if j < len(self.begins) and self.begins[j] == right else -1,
+        )
+
+    def around(self, a: int, b: int) -> tuple[str, str]:
+        """The last word of text[:a] and the first of text[b:]."""
+        i, j = self.runs(a, b)
+        return self.edge(i)[1] if i >= 0 else "", self.edge(j)[0] if j >= 0 else ""
+
+    def weight(self, a: int, b: int, most: float) -> float:
+        """How much the learned words on both sides of text[a:b] speak for an end, each up to ``most``."""
+        if self.lexicon is None:
+            return 0.0
+        for k in (pair := self.runs(a, b)):
+            if k >= 0 and k not in self.learned:
+                words = self.lexicon.words(self.text[self.begins[k] : self.ends[k]])
+                self.learned[k] = words[0], words[-1]
+        i, j = pair
+        closes = self.lexicon.closing.get(self.learned[i][1], 0.0) if i >= 0 else 0.0
+        opens = self.lexicon.opening.get(self.learned[j][0], 0.0) if j >= 0 else 0.0
+        return max(-most, min(most, closes)) + max(-most, min(most, opens))
 
 
 def _edge_words(text: str, a: int, b: int) -> tuple[str, str]:
-    """The last word of text[:a] and the first of text[b:], of the lattice over their neighbourhood."""
-    past = text[max(0, a - 24) : a].rstrip(_CLOSERS + "。！？!?….")
-    left = [m for m in _STRETCH.finditer(past) if m.end() == len(past)]
-    right = _STRETCH.match(text[b : b + 24].lstrip("\"'“„«‘‹([{（「『"))
-    words = lattice_words(left[0].group() if left else ""), lattice_words(right.group() if right else "")
-    return (words[0][-1] if words[0] else ""), (words[1][0] if words[1] else "")
+    """The last word of text[:a] and the first of text[b:], of the lattice over their runs."""
+    return Stretches(text).around(a, b)
 
 
-def split_blanked(text: str) -> Iterator[tuple[int, int]]:
-    """Thai and its neighbours: blanks are the gaps; beside figures they do not part."""
+def split_blanked(text: str, lexicon: Lexicon | None = None) -> Iterator[tuple[int, int]]:
+    """Thai and its neighbours: blanks are the gaps; beside figures they do not part.
+
+    In Thai a blank parts sentences unless something speaks against it. Khmer and Burmese have full stops, so
+    that a blank where they use them parts phrases; in Lao too a blank beside a phrase of a word or two does.
+    """
     around = Around(text)
+    stretches = Stretches(text, lexicon)
+    thai = 2 * len(_THAI.findall(text)) > len(_BLANKED.findall(text))
+    stops = bool(_BLANKED_STOP.search(text))
+    places = [m.span() for m in re.finditer(r"\s+", text)]
     begin = 0
-    for m in re.finditer(r"\s+", text):
-        a, b = m.span()
+    for n, (a, b) in enumerate(places):
         if a <= begin or b >= len(text):
             continue
         if any(b < y for _, y, _ in around.at(a)):
             continue
         left, right = text[a - 1], text[b]
         bare = before(text, a).rstrip(_CLOSERS)
-        if bare[-1:] in "!?。！？…။។":
+        if bare[-1:] in "!?。！？…။។៕":
             score = 5.0
         else:
             score = 2.0
@@ -402,7 +437,7 @@ def split_blanked(text: str) -> Iterator[tuple[int, int]]:
                 score -= 9
             if left in ",;:：–—&" or right in ",;:：–—":
                 score -= 9
-            closes, opens = _edge_words(text, a, b)
+            closes, opens = stretches.around(a, b)
             if opens in CONTINUING_WORDS:
                 score -= 4
             if closes in CONTINUING_WORDS:
@@ -411,6 +446,13 @@ def split_blanked(text: str) -> Iterator[tuple[int, int]]:
                 score += 2
             if opens in OPENING_WORDS:
                 score += 2
+            score += stretches.weight(a, b, 0.75)
+            if not thai:
+                behind = places[n + 1][0] if n + 1 < len(places) else len(text)
+                if stops:
+                    score -= 4
+                if min(a - begin, behind - b) < LEAST_LETTERS:
+                    score -= 4
             if left.isascii() and left.isalpha() or right.isascii() and right.isalpha():
                 score -= 3
         if score > 0:
@@ -426,7 +468,7 @@ def _blank_score(text: str, a: int, b: int, stretches: Stretches) -> float:
     if not _CJK.match(right) and right not in _OPEN + "“‘" or not _CJK.match(left) and left not in _CLOSERS:
         return -9.0
     closes, opens = stretches.around(a, b)
-    score = -3.0
+    score = -3.0 + stretches.weight(a, b, 2.0)
     if opens in CONTINUING_WORDS:
         score -= 4
     if closes in CONTINUING_WORDS:
@@ -438,11 +480,11 @@ def _blank_score(text: str, a: int, b: int, stretches: Stretches) -> float:
     return score
 
 
-def split_unspaced(text: str) -> Iterator[tuple[int, int]]:
+def split_unspaced(text: str, lexicon: Lexicon | None = None) -> Iterator[tuple[int, int]]:
     """Chinese and Japanese: terminators, blanks and line feeds are the gaps. Terminators other than dots end a
     sentence unless a quotation or bracket goes on; at the other gaps the words on both sides decide."""
     around = Around(text)
-    stretches = Stretches(text)
+    stretches = Stretches(text, lexicon)
     begin = 0
     for m in _CJK_GAP.finditer(text):
         a, b = m.span()
@@ -475,7 +517,7 @@ def split_unspaced(text: str) -> Iterator[tuple[int, int]]:
         if set(mark) <= set("…."):
             closes, opens = stretches.around(a, b)
             if closes not in CLOSING_WORDS and opens not in OPENING_WORDS:
-                score -= 9
+                score += stretches.weight(a, b, 2.0) - 7
         if text[b : b + 1] in "，、,；：":
             score -= 9
         if score > 0:
@@ -484,9 +526,17 @@ def split_unspaced(text: str) -> Iterator[tuple[int, int]]:
     yield begin, len(text)
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def script_of(part: str) -> str:
+    """How a paragraph is cut: "blanked" (Thai, Lao, Khmer, Burmese), "unspaced" (Chinese, Japanese) or "spaced"."""
+    if 2 * len(_BLANKED.findall(part)) > sum(map(str.isalpha, part)) * 0.6:
+        return "blanked"
+    return "unspaced" if 3 * len(_CJK.findall(part)) > len(part) * 0.6 else "spaced"
+
+
+def sentences(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
     """Spans of the sentences, in order, without blanks at their ends; every visible character
-    is in exactly one. Null, empty and blank texts have none."""
+    is in exactly one. Null, empty and blank texts have none. lexicon: learned words; without it the fixed
+    function words decide alone."""
     out: list[tuple[int, int]] = []
     if not text:
         return out
@@ -497,14 +547,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if span := strip_span(plain, begin, end):
             a, b = span
             part = plain[a:b]
-            n = len(part)
-            if 2 * len(_BLANKED.findall(part)) > sum(c.isalpha() for c in part) * 0.6:
-                cut = split_blanked
-            elif 3 * len(_CJK.findall(part)) > n * 0.6:
-                cut = split_unspaced
+            script = script_of(part)
+            if script == "spaced":
+                made = split_spaced(part)
             else:
-                cut = split_spaced
-            for x, y in cut(part):
+                made = (split_blanked if script == "blanked" else split_unspaced)(part, lexicon)
+            for x, y in made:
                 if s := strip_span(plain, a + x, a + y):
                     out.append(s)
         begin = m.end() if m else end
@@ -520,11 +568,13 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def sentence_spans(documents: DataFrame) -> DataFrame:
-    """``corpus_id, doc_seq, sent_start, sent_end`` of the texts under notes/, each span once."""
+    """``corpus_id, doc_seq, sent_start, sent_end`` of the texts under notes/, each span once. The lexicon is
+    learned from all of these texts in a job of its own."""
     rows = in_folder(documents, "notes").where(F.col("text").isNotNull()).select(*KEY, "text")
+    lexicon = learn(rows.select("text"))
 
     def make():
-        return lambda corpus, seq, text: ((corpus, seq, a, b) for a, b in sentences(text))
+        return lambda corpus, seq, text: ((corpus, seq, a, b) for a, b in sentences(text, lexicon))
 
     return flat_map(rows, make, "corpus_id string, doc_seq int, sent_start int, sent_end int").distinct()
 
@@ -532,10 +582,11 @@ def sentence_spans(documents: DataFrame) -> DataFrame:
 def sentence_units(documents: DataFrame) -> DataFrame:
     """``corpus_id, doc_seq, sent_no, sentence`` of all texts, whatever their path."""
     rows = documents.where(F.col("text").isNotNull()).select(*KEY, "text")
+    lexicon = learn(rows.select("text"))
 
     def make():
         return lambda corpus, seq, text: (
-            (corpus, seq, n, text[a:b]) for n, (a, b) in enumerate(sentences(text), 1)
+            (corpus, seq, n, text[a:b]) for n, (a, b) in enumerate(sentences(text, lexicon), 1)
         )
 
     return flat_map(rows, make, "corpus_id string, doc_seq int, sent_no int, sentence string").distinct()
