@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import KEY, flat_map, web_pages, website
+from voxcorpus.llm.common import KEY, flat_map, salt_of, salted, salts, web_pages, website
 from voxcorpus.llm.site_lines import letters
 
 #: Least share of a site's pages for a line's repetition to count at all.
@@ -32,7 +32,6 @@ PRIOR_PAGES = 4.0
 DENSE = 0.45
 #: ... and belongs to the frame wherever it stands.
 FRAME = 0.6
-SALTS = 16
 
 _SEPARATED = re.compile(r"\s[|/·•→›»>–]\s|\s[|/·•→›»>–]$")
 _SENTENCE = re.compile(r"[.!?…]+[\"”’»)]*(?=\s+\S)|[。！？](?=.)")
@@ -62,32 +61,53 @@ def _hash(found: Column, brand: Column, *kind: str) -> Column:
     return F.when(found != "", F.xxhash64(*map(F.lit, kind), F.replace(found, brand, F.lit("§"))))
 
 
-def page_keys(documents: DataFrame) -> DataFrame:
-    """``site, page, h``: the distinct hashes of each page of a website, site and page as hashes too."""
-    pages = web_pages(documents).select(F.xxhash64(*KEY).alias("page"), website(F.col("path")).alias("name"), "text")
-    named = pages.select("page", F.xxhash64("name").alias("site"), _brand(F.col("name")).alias("brand"), "text")
-    lines = named.select("page", "site", "brand", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select(
-        "page", "site", "brand", letters(F.col("line")).alias("whole"), _prefix_letters(F.col("line")).alias("prefix")
-    )
-    both = F.array(_hash(F.col("whole"), F.col("brand")), _hash(F.col("prefix"), F.col("brand"), "prefix"))
-    return found.select("site", "page", F.explode(both).alias("h")).where(F.col("h").isNotNull()).distinct()
+def hashed_pages(documents: DataFrame) -> DataFrame:
+    """``corpus_id, doc_seq, text, title, site, salt, hashes, prefixes`` of the pages with a text, exchanged by (site,
+    salt): the hashes of a page's lines and of what stands before a colon in them; the site as a hash too.
 
+    The texts are read once, their lines hashed once, and this one exchange serves the counts and the decision.
+    The salt is a page's, so a site of a third of all pages is spread over as many tasks as there are cores.
+    """
+    named = (
+        web_pages(documents)
+        .where(F.col("text").isNotNull())
+        .select(
+            *KEY, "text", "title", website(F.col("path")).alias("name"), F.split("text", "\n").alias("lines"),
+            salt_of(salts(documents), *KEY).alias("salt"),
+        )
+    )
+    found = named.select(
+        *KEY, "text", "title", "salt", F.xxhash64("name").alias("site"), _brand(F.col("name")).alias("brand"),
+        F.transform("lines", letters).alias("wholes"), F.transform("lines", _prefix_letters).alias("befores"),
+    )
+    return found.select(
+        *KEY, "text", "title", "site", "salt",
+        F.transform("wholes", lambda x: _hash(x, F.col("brand"))).alias("hashes"),
+        F.transform("befores", lambda x: _hash(x, F.col("brand"), "prefix")).alias("prefixes"),
+    ).repartition("site", "salt")
 
-def repetition(documents: DataFrame) -> DataFrame:
-    """``site, shares``: for each site the hashes of its repeated lines with their shares.
+
+def repetition(pages: DataFrame, n_salts: int) -> DataFrame:
+    """``site, shares``: for each site the hashes of its repeated lines with their shares, of ``hashed_pages``.
 
     Of a site with few pages the shares are drawn to those over all sites.
     """
-    by_site = page_keys(documents).groupBy("site", "h").agg(F.count(F.lit(1)).alias("df"))
-    pages = web_pages(documents).where(F.col("text").isNotNull())
-    pages = pages.select(F.xxhash64(website(F.col("path"))).alias("site"), F.xxhash64(*KEY).alias("page"))
-    pages = pages.distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    counted = by_site.join(pages, "site")
+    # each page's hashes once, however often it was delivered; its own row under the hash 0 counts the pages.
+    # Text and title are named so that all readers of the exchange need the same columns.
+    whole = F.length("text") >= F.coalesce(F.length("title") * 0, F.lit(0))
+    hashes = F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.when(whole, F.col("hashes")), F.col("prefixes")))
+    each = pages.select("site", "salt", *KEY, F.explode(hashes).alias("h")).where(F.col("h").isNotNull()).distinct()
+    parts = each.groupBy("site", "salt", "h").agg(F.count(F.lit(1)).alias("df"))
+    # ``line`` is the hash again, told apart behind the aggregation so that both its readers share it
+    by_site = parts.groupBy("site", "h").agg(F.sum("df").alias("df"), F.max("h").alias("line"))
+    total = by_site.groupBy("site").agg(F.max(F.when(F.col("line") == 0, F.col("df"))).alias("n"))
+    # a site of a third of all pages has as many of the lines: they meet its one total in parts
+    lines = by_site.where("line <> 0").select("site", "h", "df", salt_of(n_salts, "line").alias("salt"))
+    counted = lines.join(salted(total, n_salts), ["site", "salt"]).drop("salt")
     overall = counted.groupBy("h").agg(
         (F.sum("df") / F.sum("n")).alias("overall"), F.count(F.lit(1)).alias("sites")
     )
-    # A hash of one site has nothing to learn from the others: only shared ones are joined.
+    # A hash of one or two sites has nothing to learn from the others: only shared ones are joined.
     shared = overall.where(F.col("sites") >= 3)
     prior = F.coalesce("overall", F.lit(0.0))
     share = (F.col("df") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)
@@ -238,43 +258,10 @@ def frame_lines(text: str, title: str | None, hashes: list, prefixes: list, shar
 
 
 def _pages_with_shares(documents: DataFrame) -> DataFrame:
-    """Pages with the hashes of their lines and the shares of their site.
-
-    The join is salted: a third of all pages may be of one site.
-    """
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    shares = repetition(documents).withColumn("salt", salts)
-    named = (
-        web_pages(documents)
-        .where(F.col("text").isNotNull())
-        .select(
-            *KEY,
-            "text",
-            "title",
-            website(F.col("path")).alias("name"),
-            F.split("text", "\n").alias("lines"),
-            F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt"),
-        )
-    )
-    found = named.select(
-        *KEY,
-        "text",
-        "title",
-        "salt",
-        F.xxhash64("name").alias("site"),
-        _brand(F.col("name")).alias("brand"),
-        F.transform("lines", letters).alias("wholes"),
-        F.transform("lines", _prefix_letters).alias("befores"),
-    )
-    pages = found.select(
-        *KEY,
-        "text",
-        "title",
-        "salt",
-        "site",
-        F.transform("wholes", lambda x: _hash(x, F.col("brand"))).alias("hashes"),
-        F.transform("befores", lambda x: _hash(x, F.col("brand"), "prefix")).alias("prefixes"),
-    )
+    """Pages with the hashes of their lines and the shares of their site."""
+    pages = hashed_pages(documents)
+    n = salts(documents)
+    shares = salted(repetition(pages, n), n)
     return pages.join(shares, ["site", "salt"], "left").select(
         *KEY,
         "text",
