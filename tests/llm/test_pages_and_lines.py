@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from voxcorpus.llm.boilerplate import frame_lines, page_bodies, page_frames
+from voxcorpus.llm import boilerplate
+from voxcorpus.llm.boilerplate import Page, frame_lines, page_bodies, page_frames
 from voxcorpus.llm.site_lines import repeated_lines, without_repeated_lines
 
 SCHEMA = "corpus_id string, doc_seq int, path string, title string, text string, loaded_at int, h int, site string"
@@ -93,3 +94,30 @@ def test_repeated_lines_against_brute_force(site):
     assert {(r["doc_seq"], r["line_no"]) for r in repeated_lines(df).collect()} == want
     clean = {r["doc_seq"]: r for r in without_repeated_lines(df).collect()}
     assert clean[2]["removed"] == sum(1 for k, _ in want if k == 2) and "12 shares" not in clean[2]["text"]
+
+
+def test_points_pass_to_parent_and_grandparent():
+    """Two regions of paragraphs with a wall of links between: the better one is the container, the other is kept as its
+    sibling; a region of single lines behind it is not."""
+    long = "The harbour wakes, the boats leave, the town sleeps. Nobody speaks, nobody waits. " * 3
+    wall = ["Home | Blog | Team | Contact", "A | B | C | D"]
+    lines = ["A title", "", long, long, "", *wall, "", long, "", *wall, "", "Teaser one", "Teaser two"]
+    page = Page(lines, [0.0] * len(lines), [0.0] * len(lines), "A title")
+    assert page.body() == {0, 2, 3, 8}
+    scored = Page(["One, two, three. Four, five."] + [""] + ["Home | Blog | Team"], [0.0] * 3, [0.0] * 3, None)
+    assert scored.link_density([0]) == 0 and scored.link_density([0, 2]) == 0.5 and scored.points(0) > 4 > scored.points(2) == 0
+
+
+def test_lines_decided_by_their_share_are_not_measured_again():
+    """Sentences are not counted in a line of a share of 0.2 or more, rows of links not looked for from 0.6 on: the
+    outcome is the same as if they were, whatever else such a line holds."""
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [rng.choice(["Home | Blog | Team", "Words here. More words follow, as ever.", "Short", "By Ada", ""]) for _ in range(12)]
+        share = [rng.choice([0.0, 0.1, 0.2, 0.3, 0.5, 0.6, 0.9]) for _ in lines]
+        page = Page(lines, share, [0.0] * 12, "Short")
+        full = Page(lines, share, [0.0] * 12, "Short")
+        full.breaks = [len(boilerplate._SENTENCE.findall(x)) for x in full.lines]
+        full.paragraphs = [full._paragraph(i) for i in range(12)]
+        full.density = [max(full.share[i], 1.0 if full._row_of_links(i) else 0.0) if full.lines[i] else 0.0 for i in range(12)]
+        assert page.body() == full.body()

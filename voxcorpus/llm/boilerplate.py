@@ -1,10 +1,13 @@
 """The main body of web pages whose text keeps one line for each block.
 
-Method: tree scoring. A page is a tree of sections (runs of lines between blank lines) and
-lines. A line scores a point, one for each comma and one for each hundred characters up to
-three, and passes them to its section, less its link density. The section with most points
-is the best container; its siblings on both sides are kept up to the first that is dense in
-links and has no paragraph behind it. Lines dense in links are taken out of the body again.
+Method: tree scoring. A page is a tree of regions (what lies between sections of links),
+sections (runs of lines between blank lines) and lines. A paragraph scores a point, one for each
+comma and one for each hundred characters up to three, a line that is none a tenth of that. It
+passes its points in full to its section and by half to its region, its parent and grandparent;
+each container's score is what it was passed, less its link density. The region with the best
+score is the container. Its sibling regions before it are kept (title, byline), those behind it
+if they have ``SIBLING`` of its score and a paragraph; from the last paragraph on (or the region's
+first section, where it has none) sections are kept up to the first that the frame opens. Lines dense in links are taken out of the body again.
 
 The text has no links any more. What is left of them is repetition: the menus, notices,
 prompts and footers of a site come back on its pages. The link density of a line is the
@@ -32,6 +35,8 @@ PRIOR_PAGES = 4.0
 DENSE = 0.45
 #: ... and belongs to the frame wherever it stands.
 FRAME = 0.6
+#: Part of the best score a sibling behind the best container must have.
+SIBLING = 0.1
 
 _SEPARATED = re.compile(r"\s[|/·•→›»>–]\s|\s[|/·•→›»>–]$")
 _SENTENCE = re.compile(r"[.!?…]+[\"”’»)]*(?=\s+\S)|[。！？](?=.)")
@@ -209,24 +214,38 @@ class Page:
         most = 14 if m[1].isascii() or not _WIDE.search(m[1]) else 8
         return len(m[1]) <= most and len(x.split()) <= 24
 
+    def link_density(self, section: list[int]) -> float:
+        """Share of a container's lines that are links."""
+        return sum(self.density[i] >= DENSE for i in section) / len(section)
+
     def body(self) -> set[int]:
         """The lines of the body."""
         s = self.sections
         if not s:
             return set()
-        # a section's points, less its own link density; every section passes half on to its neighbours
-        own = [sum(map(self.points, x)) * (1 - sum(self.density[i] >= DENSE for i in x) / len(x)) for x in s]
-        points = [p + sum(own[max(0, k - 1) : k] + own[k + 1 : k + 2]) / 2 for k, p in enumerate(own)]
-        best = max(range(len(s)), key=points.__getitem__)
-        begin = 0
-        while begin < best and self.dense(s[begin]):
-            begin += 1
-        # the first sibling of links ends the body, if no paragraph follows it
-        last_paragraph = max((k for k in range(len(s)) if any(self.paragraph(i) for i in s[k])), default=best)
-        end = best + 1
-        while end < len(s) and not (self.closes(s[end]) and end > last_paragraph):
+        passed = [sum(map(self.points, x)) for x in s]
+        regions: list[list[int]] = [[]]
+        for k, x in enumerate(s):
+            if self.dense(x):
+                regions.append([])
+            else:
+                regions[-1].append(k)
+        regions = [r for r in regions if r] or [list(range(len(s)))]
+        as_parent = [p * (1 - self.link_density(x)) for p, x in zip(passed, s)]
+        as_grandparent = [sum(passed[k] for k in r) / 2 * (1 - self.link_density([i for k in r for i in s[k]])) for r in regions]
+        scores = [max(g, max(as_parent[k] for k in r)) for g, r in zip(as_grandparent, regions)]
+        best = max(range(len(scores)), key=scores.__getitem__)
+        has_paragraph = [any(self.paragraph(i) for i in x) for x in s]
+        behind = [
+            r for r, score in zip(regions[best + 1 :], scores[best + 1 :])
+            if score >= SIBLING * scores[best] and any(has_paragraph[k] for k in r)
+        ]
+        last_region = behind[-1] if behind else regions[best]
+        last = max((k for k in last_region if has_paragraph[k]), default=last_region[0])
+        end = last + 1
+        while end < len(s) and not self.closes(s[end]):
             end += 1
-        inside = [i for x in s[begin:end] for i in x]
+        inside = [i for x in s[regions[0][0] : end] for i in x]
         return set(inside) - self.frame_within(inside)
 
     def frame_within(self, inside: list[int]) -> set[int]:
