@@ -6,6 +6,9 @@ rows at most, taken by the hash of their key), in the shapes prose comes in (cap
 marks, broken lines, dialogue, a short list within); junk is made of the same words with
 the structure of lists, tables, logs, dumps and keyword strings. The scores are calibrated
 to probabilities on the hand-checked texts in ``holdout.py``, which are never trained on.
+
+The model is fitted when a query is built: one job that sends ``TRAIN_TEXTS`` texts to the driver, whatever
+the size of the collection, and some two seconds there.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from voxcorpus.llm.trees import Trees
 
 #: Rows under notes/ the trees are trained on, at most.
 TRAIN_TEXTS = 1_000
-#: With fewer prose texts than this the built-in ones are added.
+#: With fewer prose texts than this the built-in ones are added. It bears on the training set alone: a collection
+#: with hardly any notes has no prose of its own to learn from.
 LEAST_TEXTS = 150
+#: Notes up to this length are not trained on (all lengths are judged).
+SHORTEST = 80
 JUNK = 0.5
 
 #: Some of the commonest words of several languages.
@@ -235,7 +241,7 @@ def sample_prose(documents: DataFrame, most: int = TRAIN_TEXTS) -> list[str]:
     rows = in_folder(documents, "notes")
     part = max(1, rows.count() // (2 * most))
     h = F.xxhash64(*KEY)
-    rows = rows.where((F.pmod(h, F.lit(part)) == 0) & (F.length(F.trim("text")) > 80))
+    rows = rows.where((F.pmod(h, F.lit(part)) == 0) & (F.length(F.trim("text")) > SHORTEST))
     picked = rows.select("text", h.alias("h")).orderBy("h").limit(most).collect()
     return list(dict.fromkeys(r["text"] for r in picked))
 
