@@ -171,6 +171,18 @@ def test_kmeans_keeps_every_row(spark):
     assert len(got) == 12 and len({r["cluster"] for r in got if r["token"][0] == "a"}) == 1 and len({r["cluster"] for r in got}) == 2
     assert K.kmeans(vectors(spark, rows[:1]).drop("cluster"), k=6).first()["cluster"] == 0
     assert K.kmeans(vectors(spark, rows).where("false").drop("cluster")).count() == 0
+    assert [r["cluster"] for r in K.kmeans(vectors(spark, [("n", 0, None), ("a", 0, [1.0, 0.0])]).drop("cluster")).collect()] == [None, 0]
+    same = K.kmeans(vectors(spark, rows[:1] * 5).drop("cluster"), k=3).collect()
+    assert len(same) == 5 and len({r["cluster"] for r in same}) == 1
+
+
+def test_kmeans_in_the_tasks_is_the_same(spark, monkeypatch):
+    rows = [(f"{g}{i}", 0, [float(g == "a") + 0.01 * i, float(g == "b"), float(g == "c")]) for g in "abc" for i in range(6)]
+    v = vectors(spark, rows).drop("cluster")
+    parts = lambda: {frozenset(t) for t in K.kmeans(v, k=3).groupBy("cluster").agg(F.collect_set("token").alias("t")).toPandas()["t"]}
+    here = parts()
+    monkeypatch.setattr(K, "SMALL", 5)
+    assert parts() == here == {frozenset(f"{g}{i}" for i in range(6)) for g in "abc"}
 
 
 def test_clusters_dropped(spark):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,27 +18,66 @@ from voxcorpus.operators import vectors as V
 SEEDS = 10
 #: Runs at a time.
 AT_ONCE = 5
+#: Vectors that are clustered on the driver (with 384 numbers each some 60 MB); more are clustered by the tasks.
+SMALL = 20_000
+
+
+def _centers(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> tuple[float, np.ndarray]:
+    """Cost and centers of one run: spread first centers, then means until nothing moves."""
+    rng = np.random.default_rng(seed)
+    centers = x[[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        far = np.clip(((x[:, None] - centers) ** 2).sum(2).min(1), 0, None)
+        pick = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))
+        centers = np.vstack([centers, x[pick]])
+    mine = None
+    for _ in range(rounds):
+        distance = (x**2).sum(1)[:, None] - 2 * x @ centers.T + (centers**2).sum(1)
+        new = distance.argmin(1)
+        if mine is not None and (new == mine).all():
+            break
+        mine = new
+        for c in range(k):
+            if (mine == c).any():
+                centers[c] = x[mine == c].mean(0)
+    return float(distance[np.arange(len(x)), mine].sum()), centers
 
 
 def kmeans(vectors: DataFrame, k: int = L.CLUSTERS, seed: int = 42, seeds: int = SEEDS) -> DataFrame:
-    """Adds ``cluster``: the cheapest of ``seeds`` runs; k is at most the number of rows and at least 1.
+    """Adds ``cluster``: the nearest center of the cheapest of ``seeds`` runs; k is at most the number of rows and
+    at least 1. Null vectors have a null cluster.
 
-    The input is computed once for all runs and let go after them. Each run is a few passes over vectors of a
-    vocabulary, with k centroids on the driver.
+    Up to ``SMALL`` vectors, which is most vocabularies, the runs are made on the driver; beyond, each is a few
+    passes over the vectors in the tasks. Either way only the k centers are known in the end, and the rows get
+    their cluster by an expression.
     """
-    rows = V.with_unit(vectors.select("embedding"), "embedding", "_v").select("_v").persist()
-    try:
-        k = max(1, min(k, rows.count()))
-        if k == 1:
-            return vectors.withColumn("cluster", F.lit(0))
-        fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(rows)
-        with ThreadPoolExecutor(AT_ONCE) as pool:  # a run is many short jobs, which leave room for each other
-            runs = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(seeds)))
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-    finally:
-        rows.unpersist()
-    made = best.transform(V.with_unit(vectors, "embedding", "_v"))
-    return made.drop("_v").withColumn("cluster", F.col("cluster").cast("int"))
+    rows = V.with_unit(vectors.where(F.col("embedding").isNotNull()).select("embedding"), "embedding", "_v").select("_v")
+    # read off the end, in an order of their own, so that the runs do not hang on that of the tasks
+    some = rows.select(vector_to_array("_v").alias("v")).limit(SMALL + 1).toArrow()["v"].to_pylist()
+    if not some:
+        return vectors.withColumn("cluster", F.lit(None).cast("int"))
+    if len(some) <= SMALL:
+        x = np.array(sorted(some))
+        k = max(1, min(k, len(x)))
+        best = min((_centers(x, k, seed + i) for i in range(seeds)), key=lambda r: r[0])[1]
+    else:
+        rows = rows.persist()
+        try:
+            fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(rows)
+            with ThreadPoolExecutor(AT_ONCE) as pool:  # a run is many short jobs, which leave room for each other
+                runs = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(seeds)))
+            best = np.array(min(runs, key=lambda m: m.summary.trainingCost).clusterCenters())
+        finally:
+            rows.unpersist()
+    # the nearest center of v is that of the largest v.c - |c|^2 / 2
+    centers = F.array(*[F.array(*map(F.lit, map(float, c))) for c in best])
+    halves = F.array(*[F.lit(float((c**2).sum() / 2)) for c in best])
+    given = F.col("embedding").cast("array<double>")
+    near = vectors.withColumn("_e", F.coalesce(given, F.array_repeat(F.lit(0.0), best.shape[1])))
+    near = V.with_unit(near, "_e", "_v").withColumn("_a", vector_to_array("_v"))
+    near = near.withColumn("_d", F.zip_with(F.transform(centers, lambda c: V.dot(F.col("_a"), c)), halves, lambda d, h: d - h))
+    place = (F.array_position("_d", F.array_max("_d")) - 1).cast("int")
+    return near.withColumn("cluster", F.when(given.isNotNull(), place)).drop("_e", "_v", "_a", "_d")
 
 
 def ranked_members(members: DataFrame, by: list[str], top: int = L.CLUSTER_TOP) -> DataFrame:
