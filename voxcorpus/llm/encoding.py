@@ -219,9 +219,12 @@ def tokens(text: str) -> set[tuple[str, int]]:
     """Words with characters beyond ASCII, the runs of such characters, neighbouring characters
     of spaceless scripts, and what can be garbled ones within a run; words and runs of any length."""
     out: set[tuple[str, int]] = set()
-    for word in set(_TOKEN.findall(text)):
-        if not word.isascii():
-            out.update(_short_word(word) if len(word) <= KEPT_LENGTH else word_tokens(word))
+    for piece in set(text.split(" ")):  # most pieces are ASCII, which is cheaper to see than to match
+        if piece.isascii():
+            continue
+        for word in _TOKEN.findall(piece):
+            if not word.isascii():
+                out.update(_short_word(word) if len(word) <= KEPT_LENGTH else word_tokens(word))
     return out
 
 
