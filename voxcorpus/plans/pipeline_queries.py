@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
+from voxcorpus.functions.rows import beside
 from voxcorpus.operators import cadence as C
+from voxcorpus.operators import clusters as K
 from voxcorpus.operators import tone as N
+from voxcorpus.operators import vectors as V
 from voxcorpus.operators import vocabulary as W
 from voxcorpus.plans import queries as Q
 from voxcorpus.plans.fingerprint import fingerprint
@@ -94,3 +99,19 @@ def fingerprint_whole(spark: SparkSession, d: str) -> DataFrame:
     figures = {m: f["cadence"][m] for m in _FIGURES}
     figures |= {k: f[k] for k in ("doc_count", "thin_corpus", "brand_total_tokens")} | f["stats"] | {"vocab_size": f["clusters"]["vocab_size"]}
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "name string, value double"), "value")
+
+
+@query("SELECT count(*) AS vectors, CAST(6 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS strays FROM embeddings WHERE embedding IS NOT NULL")
+def kmeans_fixed_point(spark: SparkSession, d: str) -> DataFrame:
+    """How many vectors lie nearer to the mean of another cluster than to that of their own: none, when the runs have
+    come to rest."""
+    rows = V.with_unit(K.kmeans(Q._vectors(spark, d)), "embedding", "v").select("cluster", "v", vector_to_array("v").alias("a")).persist()
+    middle = rows.groupBy("cluster").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    few = middle.agg(F.collect_list(F.struct("cluster", "m")).alias("ms"))
+    # the nearest mean m of a is that of the largest a.m - |m|^2 / 2
+    score = F.transform("ms", lambda c: F.struct((V.dot(F.col("a"), c["m"]) - V.dot(c["m"], c["m"]) / 2).alias("s"), c["cluster"].alias("cluster")))
+    placed = beside(rows.select("cluster", "a"), few).withColumn("near", F.array_max(score)["cluster"])
+    return placed.agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_distinct("cluster").alias("clusters"),
+        F.sum(F.when(F.col("near") == F.col("cluster"), 0).otherwise(1)).alias("strays"),
+    )
