@@ -44,6 +44,8 @@ _END = re.compile(r"[.!?…。！？][\"”’»)]*\s*»?$")
 _COMMA = re.compile(r"[,，、;；]")
 _BULLET = re.compile(r"^\s*(?:[-–•*·▪]|\d+[.)])\s+")
 _PREFIX = r"^\s*([^:：]{2,24}?)\s*[:：]"
+_PREFIXED = re.compile(_PREFIX)
+_PIECES = re.compile(r"\s[|/·•→›»>]\s")
 _WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣]")
 _COMMENT = re.compile(r"^[^\W\d_][\w-]*\s?[:：]\s")
 _CUT = re.compile(r"…\s*»?[.!]?$")
@@ -130,10 +132,11 @@ class Page:
     """One page as sections of scored lines."""
 
     def __init__(self, lines: list[str], share: list[float], prefix: list[float], title: str | None) -> None:
-        self.lines = [re.sub(r"[\s ]+", " ", x).strip() for x in lines]
+        self.lines = [" ".join(x.split()) for x in lines]
         self.share = share
         self.prefix = prefix
         self.title = re.sub(r"\W+", "", (title or "").casefold())
+        self._titled: dict[int, bool] = {}
         self.sections: list[list[int]] = []
         now: list[int] = []
         for i, x in enumerate(self.lines):
@@ -153,7 +156,7 @@ class Page:
         x = self.lines[i]
         if not _SEPARATED.search(x):
             return False
-        pieces = [p for p in re.split(r"\s[|/·•→›»>]\s", x) if p.strip()]
+        pieces = [p for p in _PIECES.split(x) if p.strip()]
         return len(pieces) >= 3 and max(map(len, pieces)) < 90 or len(pieces) >= 2 and bool(
             self.title and re.sub(r"\W+", "", pieces[-1].casefold()) == self.title
         )
@@ -187,7 +190,7 @@ class Page:
     def dense(self, section: list[int]) -> bool:
         """A section of links: no paragraph, not the page's title, and most of its lines are links; of one
         or two lines all must be of the frame."""
-        if any(self.paragraph(i) or self.title and self._bare(i) == self.title for i in section):
+        if any(self.paragraph(i) or self.titled(i) for i in section):
             return False
         least = FRAME if len(section) <= 2 else DENSE
         return sum(self.density[i] >= least for i in section) > 0.5 * len(section)
@@ -202,14 +205,19 @@ class Page:
         heading = len(section) > 1 and not _END.search(self.lines[first])
         return self.density[first] >= DENSE or (some or heading) and self.share[first] >= 0.2
 
-    def _bare(self, i: int) -> str:
-        return re.sub(r"\W+", "", self.lines[i].casefold())
+    def titled(self, i: int) -> bool:
+        """Whether a line is the page's title, marks and letter case aside."""
+        if i not in self._titled:
+            self._titled[i] = bool(self.title) and re.sub(r"\W+", "", self.lines[i].casefold()) == self.title
+        return self._titled[i]
 
     def _leads(self, i: int) -> bool:
         """"Next: ...": a short prefix that comes back on the site, and a title behind it."""
         x = self.lines[i]
-        m = re.match(_PREFIX, x)
-        if not m or self.prefix[i] < LEAST_SHARE or _BULLET.match(x) or _END.search(x):
+        if self.prefix[i] < LEAST_SHARE or _BULLET.match(x) or _END.search(x):
+            return False
+        m = _PREFIXED.match(x)
+        if not m:
             return False
         most = 14 if m[1].isascii() or not _WIDE.search(m[1]) else 8
         return len(m[1]) <= most and len(x.split()) <= 24
@@ -254,8 +262,7 @@ class Page:
         for k, i in enumerate(inside):
             if k == 0 and not self._row_of_links(i):
                 continue  # the title
-            titled = bool(self.title) and self._bare(inside[0]) == self.title
-            if k == 1 and not self.paragraph(inside[0]) and (titled or self.share[i] < 0.75) and not self._row_of_links(i):
+            if k == 1 and not self.paragraph(inside[0]) and (self.titled(inside[0]) or self.share[i] < 0.75) and not self._row_of_links(i):
                 continue  # the byline
             before = k > 0 and inside[k - 1] in out
             last = k >= len(inside) - 2  # a closing sentence and the note on the series
