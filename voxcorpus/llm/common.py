@@ -74,6 +74,13 @@ def flat_map(
     return df.mapInArrow(run, struct)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (a small file is one part) in as many as these, so
+    that its texts are not taken apart by one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def salts(df: DataFrame) -> int:
     """Into how many parts the rows of a hot key are cut: as many as the cluster has cores, so that a key with
     a third of all rows keeps no task longer than others."""

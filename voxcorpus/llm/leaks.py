@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxcorpus.llm.common import spread
+
 SHINGLE = 5
 RUN = 13
 STRETCH = 30
@@ -202,7 +204,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     that stands there under two numbers is found under both. No items: no rows.
     """
     out = None
-    docs = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    docs = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
     for block in _blocks(items):
         texts = documents.sparkSession.sparkContext.broadcast(block)
 
