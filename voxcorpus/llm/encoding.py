@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcorpus.llm.common import flat_map, join_on, salted, salts
+from voxcorpus.llm.common import flat_map, join_on, salted, salts, spread
 
 #: Right encoding and wrong decoder.
 CHAINS: tuple[tuple[str, str], ...] = (
@@ -273,7 +273,7 @@ def corpus_tokens(documents: DataFrame) -> DataFrame:
     numbers of their documents, a document once a token. A task hands on a piece for each token (and salt) of
     every ``CHUNK`` places, so that common words are few rows."""
     n = salts(documents)
-    rows = beyond_ascii(documents).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = spread(beyond_ascii(documents).select("doc_id", F.xxhash64("text").alias("h"), "text"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, int], list[int]] = {}
@@ -358,8 +358,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
         return one
 
+    # words are few bytes and much work: as many parts as there are cores, not as their size would have it
+    cores = words.sparkSession.sparkContext.defaultParallelism
     made = flat_map(
-        words,
+        words.repartition(cores, "token"),
         make,
         "token string, kind int, original string, chain string, o_texts bigint, stranger double, same boolean",
     )
