@@ -24,24 +24,26 @@ def first_delivery(df: DataFrame, key: list[str], order: str, tie: list[str] | N
     """One row for each key, the one delivered first; null keys are a key of their own, undated rows come
     last. Of deliveries at the same time the one counts that is least by ``tie``.
 
-    A job over the keys and times alone counts the keys that come again. If they are ``most`` or fewer, they
+    One job over the keys and times alone finds the keys that come again. If they are ``most`` or fewer, they
     are sent to all tasks, and later rows are left out where they are read: nothing else is shuffled, and no text
-    unless deliveries of a key have the same time. Else all rows meet by key.
+    but of the keys that come again at the same time. Else all rows meet by key.
     """
-    keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
-    again = keys.where("_n > 1").drop("_n")
-    if again.limit(most + 1).count() > most:
+    first = F.min(F.struct(F.col(order).isNull().alias("undated"), F.col(order).alias("at"), F.col("_c").alias("c")))
+    times = df.select(*key, order).repartition(*key).groupBy(*key, order).agg(F.count(F.lit(1)).alias("_c"))
+    keys = times.groupBy(*key).agg(F.sum("_c").alias("_n"), first.alias("_f")).where("_n > 1")
+    again = keys.select(*key, F.col("_f.at").alias("_first"), F.col("_f.c").alias("_same")).limit(most + 1).persist()
+    n, same = again.agg(F.count(F.lit(1)), F.max("_same")).first()
+    if n == 0:
+        return df
+    if n > most:
+        again.unpersist()
         return _least(df, key, order, tie)
-    marked = join_on(df, F.broadcast(again.withColumn("_again", F.lit(True))), key, "left")
-    first = F.col("_again").isNull() | F.col(order).eqNullSafe(F.col("_first"))
-    kept = marked.where(first)
-    # rows of one key with one time are rare; they meet by key
-    same = marked.where(F.col("_again")).where(first).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    if not same.isEmpty():
-        kept = join_on(kept, F.broadcast(same.withColumn("_same", F.lit(True))), key, "left")
-        alone = kept.where(F.col("_same").isNull()).select(df.columns)
-        return alone.unionByName(_least(kept.where(F.col("_same")).select(df.columns), key, order, tie))
-    return kept.select(df.columns)
+    marked = join_on(df, F.broadcast(again), key, "left")
+    kept = marked.where(F.col("_same").isNull() | F.col(order).eqNullSafe(F.col("_first")))
+    if same == 1:
+        return kept.select(df.columns)
+    alone = kept.where(F.coalesce("_same", F.lit(1)) == 1).select(df.columns)
+    return alone.unionByName(_least(kept.where(F.col("_same") > 1).select(df.columns), key, order, tie))
 
 
 def _least(df: DataFrame, key: list[str], order: str, tie: list[str] | None) -> DataFrame:
