@@ -196,3 +196,12 @@ def test_texts_are_turned_back_under_every_chain(right, wrong):
         if known:
             done.append(E.repair(f"Plain words before.\n{bad}\nAnd after.", known) == f"Plain words before.\n{text}\nAnd after.")
     assert sum(done) >= 0.9 * len(done)
+
+
+def test_garbled_text_under_a_null_number(spark):
+    bad = E.garble("Привет читателям", "utf-8", "cp1252")
+    rows = [(1, "Привет читателям", 0, ""), (None, bad, 0, ""), (3, bad, 0, ""), (3, bad, 0, ""), (4, None, 0, ""), (5, "x" * 200_000 + " é " * 1000, 0, "")]
+    df = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"item_id": "h", "suite": "token"})
+    assert {r["doc_id"] for r in E.garbled_documents(df).collect()} == {None, 3}
+    back = E.restored_documents(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in back) == [(0, "Привет читателям"), (3, "Привет читателям")]

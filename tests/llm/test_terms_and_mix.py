@@ -106,3 +106,11 @@ def test_more_domains_than_the_model_has_room_for(spark):
     targets = spark.createDataFrame([(f"s{i}", 1 / 1500, 1) for i in range(1500)], TARGETS)
     rates, report = M.mix(spark.createDataFrame(rows, DOCS), targets)
     assert report.count() == 1500 and rates.count() == 1501
+
+
+def test_mix_with_clashing_columns_and_nulls(spark):
+    schema = "doc_id bigint, text string, source string, n_tokens bigint, rate double, domain string, n string, rows int, idx int"
+    rows = [(1, "x", "a", 5, 0.0, "z", "q", 1, 2), (None, None, None, None, None, None, None, None, None), (1, "x", "A ", 5, 0.0, "z", "q", 1, 2)]
+    rates, report = M.mix(spark.createDataFrame(rows, schema), spark.createDataFrame([("a", 1.0, 1), ("b", 0.0, 0)], TARGETS))
+    assert rates.count() == 3 and {r["source"]: r["reachable"] for r in report.collect()} == {"a": True, "b": True}
+    assert {r["doc_id"] for r in M.copies(rates).collect()} == {1}
