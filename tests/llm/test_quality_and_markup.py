@@ -124,6 +124,39 @@ def test_trees_of_any_depth(model):
         assert {"Head", "Inner head", "one x", "two"} <= found
 
 
+def test_html_comes_out_whole(model):
+    """Paragraphs, loose texts and what stands within items are part of the clean text, in their order."""
+    html = (
+        "<html><body>Loose words.<h2>Head &amp; <b>tail</b></h2><p>First <b>bold</b> text, \\(y_<i>2</i>\\) too.<div>Before"
+        "<ul><li>One<ul><li>Inner<pre>a = 1</pre></li></ul></li><li><p>Two</p><blockquote>Quoted</blockquote></li></ul>after</div>"
+        "<div>\\[x_1^2\\]</div><script>var no = 1;</script><!-- no --><p>Is <span class='math'>\\(z^2\\)</span> set?</body></html>"
+    )
+    assert U.clean_document(html, "x.html", model).split("\n\n") == [
+        "Loose words.", "# Head & tail", "First bold text, y_2 too.", "Before", "- One", "- Inner", "```\na = 1\n```", "- Two", "Quoted",
+        "after", "$$x_1^2$$", "Is z^2 set?",
+    ]
+    assert {("formula", "y_2"), ("formula", "x_1^2"), ("formula", "z^2"), ("code", "a = 1")} <= pieces(model, html, "x.html")
+    md = "# Head\n\nHere *one* `x`.\n\n<details>\n<summary>More</summary>\nInner words\n</details>\n\n- two\n- three\n\n</div> loose <b>end</b>"
+    assert U.clean_document(md, "x.md", model) == "# Head\n\nHere one x.\n\nMore\n\nInner words\n\n- two\n\n- three\n\nloose end"
+
+
+@pytest.mark.parametrize("broken", [
+    "<![foo[bar]]>", "<![ x ]>", "<![endif]-->", "<!-- never closed ", "<!-->", "<!ELEMENT x>", "&#" + "9" * 5000 + ";", "\x020\x03 \\(a\\)",
+])
+def test_broken_html_is_read_to_its_end(model, broken):
+    html = f"<html><body><h1>Title one</h1><p>Before.</p>{broken}<h2>Title two</h2><ul><li>One<li>Two</ul><p>After it.</p>"
+    assert {("heading", "Title one"), ("heading", "Title two"), ("list_item", "One"), ("list_item", "Two")} <= pieces(model, html, "x.html")
+    clean = U.clean_document(html, "x.html", model)
+    assert clean.startswith("# Title one\n\nBefore.") and clean.endswith("# Title two\n\n- One\n\n- Two\n\nAfter it.")
+
+
+def test_heads_without_an_end(model):
+    for head in ("<head><title>T</title><meta x><body>", "<head><title>T</title>", "<head><title>T<body>", "<head><style>p {}</style></head>"):
+        html = f"<html>{head}<h1>Title one</h1><p>Words of it.</p><pre><![CDATA[a < b]]></pre></html>"
+        assert pieces(model, html, "x.html") == {("heading", "Title one"), ("code", "a < b")}
+        assert U.clean_document(html, "x.html", model) == "# Title one\n\nWords of it.\n\n```\na < b\n```"
+
+
 def test_unseen_inbox_texts():
     """Texts nothing was chosen by (unlike the 40 hand-checked ones, which calibrate): at least nine in ten."""
     trees = Q.fit(SEED_PROSE)

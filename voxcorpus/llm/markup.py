@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxcorpus.llm.common import KEY, in_folder
-from voxcorpus.llm.markup_trees import FAMILIES, MARKERS, PARSERS, Node, all_nodes, clean_inline, squeeze
+from voxcorpus.llm.markup_trees import FAMILIES, MARKERS, PARSERS, Node, all_nodes, clean_inline, html_run, squeeze
 from voxcorpus.llm.trees import Trees
 
 #: Generated texts the trees are trained on.
@@ -495,25 +495,90 @@ def clean_title(title: str, family: str, suffix: str, trees: Model) -> str:
     return squeeze(html.unescape(title)) if re.search(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});", title) else squeeze(title)
 
 
+def _block(kind: str, body: str) -> str:
+    if kind == "code":
+        return f"```\n{body}\n```"
+    if kind == "formula":
+        return f"$${body}$$"
+    return {"heading": "# ", "list_item": "- "}.get(kind, "") + body
+
+
 def clean_text(text: str | None, tree: Labelled | None) -> str:
     """Clean text: blocks parted by blank lines, headings as "# ", items as "- ", code in fences,
-    formulas between dollars; a text of no family as it is, a null text as ""."""
+    formulas set apart between dollars; a text of no family as it is, a null text as "".
+
+    An item is followed by what stands within it as pieces of their own.
+    """
     if tree is None:
         return text or ""
+    nodes, labels, parents = tree
+    kinds = {id(n): k for n, k in zip(nodes, labels)}
+    formulas = {n.body for n, k in zip(nodes, labels) if k == "formula"}
+    listed: set[int] = set()  # what has items within
+    for n, p in zip(reversed(nodes), reversed(parents)):
+        if p >= 0 and (n.marker == "li" or id(n) in listed):
+            listed.add(id(nodes[p]))
     out: list[str] = []
-    shown: list[bool] = []
-    for n, k, p in zip(*tree):
-        hidden = p >= 0 and shown[p]
-        text_block = n.marker in ("text", "block", "inline", "root", "quote", "hash")
-        shown.append(hidden or k in SEALED or bool(n.body) and (k != "none" or n.marker == "text"))
-        if hidden or k == "drop" or not n.body or k == "none" and not text_block:
+    run: list[str] = []
+
+    def end_run() -> None:
+        body, alone = html_run("".join(run))
+        run.clear()
+        if alone and formulas.issuperset(alone):
+            out.extend(_block("formula", f) for f in alone)
+        elif body:
+            out.append(body)
+
+    # Nodes and texts still to come (None: a text ends), with what shows or hides their texts already: an item,
+    # a heading, a dropped node.
+    todo: list[tuple[Node | str | None, str]] = [(nodes[0], "")]
+    while todo:
+        n, held = todo.pop()
+        if n is None:
+            end_run()
             continue
-        if k == "code":
-            out.append(f"```\n{n.body}\n```")
-        elif k == "formula":
-            out.append(f"$${n.body}$$")
-        else:
-            out.append({"heading": "# ", "list_item": "- "}.get(k, "") + n.body)
+        if isinstance(n, str):
+            if not held:
+                run.append(n)
+            continue
+        k = kinds.get(id(n), "none")
+        if n.flow is None:
+            end_run()
+            if n.body and k != "drop" and (k != "none" or n.marker in ("text", "block", "inline", "root", "quote", "hash")):
+                out.append(_block(k, n.body))
+            if not (k in SEALED or n.body and (k != "none" or n.marker == "text")):
+                todo.extend((c, "") for c in reversed(n.children))
+            continue
+        within, apart = held, False
+        if k == "drop":
+            run.append(" ")
+            continue
+        if n.marker == "drop":
+            within = "drop"
+        elif n.marker == "formula" and k == "formula":
+            if not held:
+                run.append(f"\\({n.body}\\)")
+            elif held == "drop":
+                out.append(_block(k, n.body))
+            continue
+        elif n.marker in ("li", "h", "pre") and (held != "head" or n.marker == "h"):
+            end_run()
+            if n.body and (held != "drop" or k != "none"):
+                out.append(_block(k, n.body))
+            if n.marker == "pre" or k in SEALED:
+                continue
+            if held != "drop" or k != "none":
+                within = "head" if n.marker == "h" else "item"
+            apart = True
+        elif held == "item" and (n.marker == "quote" or n.marker == "block" and id(n) in listed):
+            within, apart = "", True
+        elif not held and n.marker in ("block", "root", "quote"):
+            apart = True
+        if apart:
+            end_run()
+            todo.append((None, ""))
+        todo.extend((c, within) for c in reversed(n.flow))
+    end_run()
     return "\n\n".join(out)
 
 

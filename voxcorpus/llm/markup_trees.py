@@ -27,9 +27,13 @@ class Node:
     body: str = ""
     attrs: str = ""
     children: list[Node] = field(default_factory=list)
+    #: Of HTML, and of what HTML stands in: the nodes with the texts between them, in order.
+    flow: list[Node | str] | None = None
 
     def add(self, marker: str, body: str = "", attrs: str = "") -> Node:
         self.children.append(Node(marker, body, attrs))
+        if self.flow is not None:
+            self.flow.append(self.children[-1])
         return self.children[-1]
 
 
@@ -85,7 +89,7 @@ def take_formulas(text: str, family: str, node: Node) -> str:
         held.append(body)
         return f"\x02{len(held) - 1}\x03"
 
-    out = pattern.sub(one, text)
+    out = pattern.sub(one, text.replace("\x02", " "))
     return out if not held else out, held
 
 
@@ -103,6 +107,8 @@ def _with_formulas(text: str, family: str, node: Node, clean: Callable[[str], st
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset("script style head template noscript iframe object svg nav title".split())
+#: A head holds nothing else; its end tag may be left out.
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 _HEADING = re.compile("h[1-6]")
 _CODE = frozenset("pre xmp listing".split())
 _BLOCK = frozenset(
@@ -120,6 +126,8 @@ _ENDS = {  # an opening tag ends these open ones, up to the container
 }
 _ENDS_P = _BLOCK | frozenset("h1 h2 h3 h4 h5 h6 pre blockquote li hr".split())
 _FORMULA_CLASS = re.compile(r"\b(?:math|katex|mathjax|tex|equation|formula|latex)", re.I)
+_COMMENT_AT_ONCE, _COMMENT_END = re.compile(r"-?>"), re.compile(r"--!?\s*>")
+_LONG_NUMBER = re.compile(r"&#0*([0-9]*);?")
 
 
 class _Builder(HTMLParser):
@@ -129,12 +137,34 @@ class _Builder(HTMLParser):
         self.stack: list[tuple[str, Node]] = [("", self.root)]
         self.parts: dict[int, list[str]] = {id(self.root): []}
         self.open: Counter[str] = Counter()  # the tags on the stack, so that a deep one is seldom searched
+        self.comments_end = self.cdata_ends = True  # whether those still to come may have an end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Passes over a comment; of one that never ends, over its opening alone."""
+        end = _COMMENT_AT_ONCE.match(self.rawdata, i + 4) or self.comments_end and _COMMENT_END.search(self.rawdata, i + 4)
+        self.comments_end = bool(end)
+        return end.end() if end else i + 4
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """CDATA is text; whatever else begins with ``<![`` is passed over up to its ``>``."""
+        if self.cdata_ends and self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            self.cdata_ends = end >= 0
+            if self.cdata_ends:
+                self.handle_data(self.rawdata[i + 9 : end])
+                return end + 3
+        return self.parse_bogus_comment(i, report)
 
     def close_from(self, k: int) -> None:
         self.open.subtract(t for t, _ in self.stack[k:])
         del self.stack[k:]
 
+    def close_head(self) -> None:
+        self.close_from(next(k for k, (t, _) in enumerate(self.stack) if t == "head"))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open["head"] and (tag == "body" or self.stack[-1][0] == "head" and tag not in _IN_HEAD):
+            self.close_head()
         if tag in _ENDS and any(self.open[t] for t in _ENDS[tag][0]):
             closed, container = _ENDS[tag]
             for k in range(len(self.stack) - 1, 0, -1):
@@ -198,6 +228,8 @@ class _Builder(HTMLParser):
             self.parts[id(self.stack[-1][1])].append("\n" if tag == "br" else " ")
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.close_head()
         self.parts[id(self.stack[-1][1])].append(data)
 
     def finish(self) -> list[tuple[Node, bool]]:
@@ -234,12 +266,20 @@ class _Builder(HTMLParser):
 
 
 def parse_html(text: str) -> Node:
+    """The nodes of a text, broken declarations and all; the texts between them stand in their ``flow``."""
     builder = _Builder()
-    try:
-        builder.feed(text)
-        builder.close()
-    except (AssertionError, ValueError):  # broken declarations
-        pass
+    # longer numbers than any character has are more than int() takes
+    builder.feed(_LONG_NUMBER.sub(lambda m: m.group() if len(m.group()) < 99 else "\ufffd" if len(m[1]) > 7 else f"&#{m[1] or 0};", text))
+    builder.close()
+
+    def within(p: Node | str) -> str:
+        """What a part adds to a text with formulas: emphasis within one belongs to it."""
+        if isinstance(p, str):
+            return p
+        texts = builder.parts[id(p)]
+        if p.children or p.marker != "inline" or any("\\" in t or "$$" in t for t in texts):
+            return " "
+        return "".join(texts)
 
     def fill(node: Node, inside: bool) -> None:
         if node.marker == "pre":
@@ -254,7 +294,7 @@ def parse_html(text: str) -> Node:
                 raw = builder.text(node)
                 node.body = squeeze(re.sub(r"^\s*(?:\\[(\[]|\$\$?)|(?:\\[)\]]|\$\$?)\s*$", "", raw.strip()))
             elif "\\" in direct or "$$" in direct:
-                _with_formulas(direct, "html", node, str)
+                _with_formulas("".join(map(within, builder.parts[id(node)])), "html", node, str)
 
     def prune(node: Node) -> None:
         # formulas that an enclosing heading or item took already stand there once
@@ -272,9 +312,28 @@ def parse_html(text: str) -> Node:
         fill(node, inside)
     for node in all_nodes(builder.root):
         prune(node)
+        node.flow = builder.parts.get(id(node))
     return builder.root
 
 
+def take_html(node: Node, text: str) -> None:
+    """Adds the nodes of a piece of HTML to a node of another family."""
+    part = parse_html(text)
+    if node.flow is None:
+        node.flow = [*node.children]
+    node.children.extend(part.children)
+    node.flow.append(part)
+
+
+def html_run(text: str) -> tuple[str, list[str]]:
+    """A text between the nodes of HTML with its formulas bare, and these formulas where it holds nothing else."""
+    if "\\" not in text and "$$" not in text:
+        return squeeze(text), []
+    root = Node("root")
+    body = _with_formulas(text, "html", root, str)
+    return body, [] if _MATH_RE["html"].sub("", text).strip() else [c.body for c in root.children if c.body]
+
+
 # Markdown
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
@@ -419,7 +478,7 @@ def _fill_markdown(root: Node, text: str) -> list[tuple[Node, str]]:
             else:
                 while j < n and lines[j].strip():
                     j += 1
-            root.children.extend(parse_html("\n".join(lines[i:j])).children)
+            take_html(root, "\n".join(lines[i:j]))
             i = j
         elif _ATX.match(line):
             flush()
@@ -568,7 +627,7 @@ def parse_wiki(text: str) -> Node:
             while k < len(lines) and lines[k].strip():
                 block.append(lines[k])
                 k += 1
-            root.children.extend(parse_html("\n".join(block)).children)
+            take_html(root, "\n".join(block))
             continue
         else:
             para.append(line)
