@@ -5,9 +5,11 @@ from datetime import datetime
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
+from voxcorpus.functions import text as T
 from voxcorpus.functions.rows import running
 from voxcorpus.operators import cadence as C
 from voxcorpus.operators import clusters as K
@@ -221,3 +223,73 @@ def test_tone(spark):
 def test_cadence_never_fails(spark, texts):
     r = cadence(spark, *texts)
     assert r["word_count"] >= r["sentence_count"] >= 0
+
+
+def test_marks_in_order_count_as_words_and_marks(spark):
+    texts = ["I paid 3.5, not 2 ..5 -- or a---b 12:30:5.", "\x1e… «oui»!", "us_we 9us us, US us", "", "  "]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    m, t = T.marks_in_order(F.col("t")), F.col("t")
+    got = d.select(F.size(F.filter(m, lambda x: x == "")), T.count_words(t), F.size(F.array_remove(m, "")), T.count_marks(t)).collect()
+    assert all(a == b and c == e for a, b, c, e in got) and got[0][1:3] == (10, 5)
+    assert [r[0] for r in d.select(T.count_of(t, ["we", "us"])).collect()] == [0, 0, 5, 0, 0]
+
+
+def test_sums_by_length_give_the_cadence(spark):
+    text = "Do you see it? I do! " + "Three plain words. We walk and you talk, as before. " * 5 + "!!! ??? ..."
+    d = spark.createDataFrame([("c", 1, text), ("c", 2, None), ("c", 3, "One")], "corpus_id string, doc_seq int, text string")
+    sentences = C.split_sentences(d, BY)
+    rows, middle = C.lengths_and_mean(sentences, T.is_usable_sentence(F.col("sentence")), V.HashedNgrams())
+    table = spark.createDataFrame(rows, ", ".join(["n_words int", *(f"{c} bigint" for c in C.SUMS)]))
+    measured = C.measure_sentences(sentences)
+    got, want = C.cadence_of_lengths(table, []).first().asDict(), C.aggregate_cadence(measured, BY).first().asDict()
+    assert got == {k: pytest.approx(v) for k, v in want.items() if k != "corpus_id"}
+    vectors = V.embed(sentences.where(T.is_usable_sentence(F.col("sentence"))), "sentence", V.HashedNgrams())
+    assert list(middle) == pytest.approx(V.centroids(vectors, BY).first()["centroid"])
+
+
+def test_extreme_texts_are_those_of_all_distances(spark):
+    texts = [f"the {w} walks {n} times" for w in ("harbour", "lantern", "editor") for n in range(9)] * 3
+    d = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "corpus_id string, n int, t string").repartition(3)
+    vectors = V.embed(d, "t", V.HashedNgrams())
+    middle = V.centroids(vectors, BY)
+    measured = V.distances(vectors, middle, BY)
+    some = V.extreme_texts(d, "t", V.HashedNgrams(), np.array(middle.first()["centroid"]), k=4)
+    for nearest in (True, False):
+        want, got = ([r["n"] for r in V.extremes(x, BY, ["n"], 4, nearest).orderBy("rank").collect()] for x in (measured, some))
+        assert got == want
+    assert some.count() < len(texts)
+
+
+@pytest.mark.parametrize("most", [W.MOST_KNOWN, 2])
+def test_weights_of_known_tokens_are_those_of_all(spark, monkeypatch, most):
+    texts = ["Plain words, plain sentences; the words stay.", "Sentences stay plain", None, "", "quite another text's own words"]
+    d = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "corpus_id string, doc_seq int, text string")
+    monkeypatch.setattr(W, "HELD", 2)
+    stats = W.token_spread(d)
+    assert {tuple(r) for r in stats.select("token", "brand_count").collect()} == {tuple(r) for r in W.token_counts(d, []).collect()}
+    monkeypatch.setattr(W, "MOST_KNOWN", most)
+    keep = W.in_cluster_vocabulary(1)
+    want = {r["token"]: pytest.approx(r["weight"]) for r in W.tfidf(d, BY, keep).collect()}
+    assert {r["token"]: r["weight"] for r in W.tfidf_known(d, stats, len(texts), keep).collect()} == want and len(want) > 5
+
+
+def test_kmeans_in_the_tasks_does_not_hang_on_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"t{i}", 0, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    monkeypatch.setattr(K, "SMALL", 5)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("kmeans", "")
+    found = [{r["token"]: r["cluster"] for r in K.kmeans(vectors(spark, rows).drop("cluster").repartition(n), k=4).collect()} for n in (1, 7)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and set(found[0].values()) == {0, 1, 2, 3}
+    assert len(jobs.getJobIdsForGroup("kmeans")) < 100  # ten runs share each pass
+
+
+def test_summary_is_what_the_parts_say(spark):
+    rows = [(w, 0, [1.0, 0.1 * i], 5.0) for i, w in enumerate(("several", "many", "other", "some"))]
+    rows += [(f"w{i}", 1, [0.1 * i, 1.0], float(i)) for i in range(5)] + [("x", 2, [1.0, 1.0], 1.0)]
+    m = spark.createDataFrame(rows, "token string, cluster int, embedding array<double>, weight double")
+    got, middles, found = K.summary(m, ["several", "many", "other", "some"])
+    want = K.surviving(m, ["cluster"], ["several", "many", "other", "some"]).join(K.exemplars(m, ["cluster"]), "cluster").drop("stop_share").collect()
+    assert got == [r.asDict(recursive=True) for r in want] and found == 3 and len(got) == 1
+    assert list(middles[0]) == pytest.approx(V.centroids(m, ["cluster"]).where("cluster = 1").first()["centroid"])

@@ -8,12 +8,17 @@ their first and last pieces are mended where a sentence runs on into the next do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcorpus.functions import lists as L
 from voxcorpus.functions import text as T
 from voxcorpus.functions.rows import join_on, running
+from voxcorpus.operators import vectors as V
 
 MEASURES = [
     "mean_length", "std_length", "p25_length", "p50_length", "p75_length", "pronoun_ratio_first", "pronoun_ratio_second",
@@ -52,13 +57,13 @@ def split_sentences(docs: DataFrame, by: list[str], exact: bool = False) -> Data
 def measure_sentences(sentences: DataFrame) -> DataFrame:
     """Adds counts of words, marks and pronouns; clitics count as words. Sentences without a word go."""
     parted = T.part_clitics(F.col("sentence"))
-    return (
-        sentences.withColumn("n_words", T.count_words(parted))
-        .where(F.col("n_words") > 0)
-        .withColumn("n_marks", T.count_marks(parted))
-        .withColumn("n_first", T.count_of(parted, L.FIRST_PERSON))
-        .withColumn("n_second", T.count_of(parted, L.SECOND_PERSON))
-    )
+    return sentences.withColumn("n_words", T.count_words(parted)).where(F.col("n_words") > 0).withColumns(_counts(parted))
+
+
+def _counts(parted: Column) -> dict[str, Column]:
+    return {
+        "n_marks": T.count_marks(parted), "n_first": T.count_of(parted, L.FIRST_PERSON), "n_second": T.count_of(parted, L.SECOND_PERSON),
+    }
 
 
 def _share(condition: Column) -> Column:
@@ -94,6 +99,65 @@ def aggregate_cadence(measured: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+SUMS = ["n", "first", "second", "marks", "questions", "exclamations"]
+
+
+def lengths_and_mean(sentences: DataFrame, usable: Column, embedder: V.Embedder) -> tuple[list[tuple], np.ndarray | None]:
+    """Of one corpus, in one pass over its sentences: the rows of ``n_words`` and ``SUMS``, one for each length, and
+    the mean of the vectors of the ``usable`` ones (of length one; None without any). Tasks hand on their sums."""
+    parted, last = T.part_clitics(F.col("sentence")), F.rtrim("sentence")
+    n_marks = F.size(F.array_remove(F.col("_m"), ""))
+    measured = sentences.withColumn("_m", T.marks_in_order(parted)).withColumns(
+        _counts(parted) | {"n_marks": n_marks, "n_words": F.size("_m") - n_marks}
+    ).select(
+        F.when(usable, F.col("sentence")).alias("sentence"), "n_words", "n_first", "n_second", "n_marks",
+        last.endswith("?").cast("int").alias("asks"), last.endswith("!").cast("int").alias("calls"),
+    )
+    schema = ", ".join(["n_words int", *(f"{c} bigint" for c in SUMS), "v array<double>"])
+    fields = pa.schema([("n_words", pa.int32()), *((c, pa.int64()) for c in SUMS), ("v", pa.list_(pa.float64()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_length: dict[int, np.ndarray] = {}
+        n, total = 0, np.zeros(embedder.dim)
+        for batch in batches:
+            lengths, place = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+            columns = [np.bincount(place, minlength=len(lengths))]
+            columns += [np.bincount(place, batch.column(i).to_numpy(), len(lengths)) for i in range(2, 7)]
+            for x, row in zip(lengths.tolist(), np.column_stack(columns).astype("int64")):
+                by_length[x] = by_length[x] + row if x in by_length else row
+            texts = batch.column(0).drop_null()
+            if len(texts):
+                n, total = n + len(texts), total + V.encoded(texts, embedder).sum(0)
+        rows = [(x, *map(int, row), None) for x, row in by_length.items() if x > 0] + [(-1, n, *[0] * 5, total.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    got = measured.mapInArrow(sums, schema).groupBy("n_words").agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.collect_list(F.struct("n", "v")).alias("vs")
+    ).select("n_words", *SUMS, F.when(F.col("n_words") < 0, F.col("vs")).alias("vs")).collect()
+    vectors = [(x["n"], x["v"]) for r in got if r["n_words"] < 0 for x in r["vs"]]
+    return sorted(tuple(r)[:-1] for r in got if r["n_words"] > 0), V.unit_mean(vectors)
+
+
+def cadence_of_lengths(lengths: DataFrame, by: list[str]) -> DataFrame:
+    """As ``aggregate_cadence``, of sums by length of sentence: ``*by, n_words`` and ``SUMS``."""
+    x, n = F.col("n_words").cast("double"), F.col("n")
+    count, words = F.sum("n"), F.sum(F.col("n_words") * n)
+    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n)
+    out = lengths.groupBy(*by).agg(
+        count.alias("sentence_count"), words.cast("bigint").alias("word_count"), (words / count).alias("mean_length"),
+        F.collect_list(F.struct(x.alias("x"), n.alias("n"))).alias("h"), quartiles.alias("q"),
+        *[(F.sum(c) * k / total).alias(m) for c, m, k, total in (
+            ("first", "pronoun_ratio_first", 1.0, words), ("second", "pronoun_ratio_second", 1.0, words), ("marks", "punct_density", 100.0, words),
+            ("questions", "question_rate", 1.0, count), ("exclamations", "exclamation_rate", 1.0, count),
+        )],
+        (F.sum(F.when(x < 5, n).otherwise(0)) / count).alias("fragment_rate"),
+    )
+    squares = F.aggregate("h", F.lit(0.0), lambda s, y: s + y["n"] * (y["x"] - F.col("mean_length")) * (y["x"] - F.col("mean_length")))
+    out = out.withColumn("std_length", F.sqrt(squares / F.col("sentence_count")))
+    out = out.withColumns({m: F.col("q")[i] for i, m in enumerate(("p25_length", "p50_length", "p75_length"))})
+    return out.select(*by, "sentence_count", "word_count", *MEASURES)
+
+
 def cadence(docs: DataFrame, by: list[str], exact: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """Cadence of every group of ``docs``; a group without any sentence has a row of zeros. groups: one row a
     group, where there is such a table already; its columns stay."""
@@ -112,10 +176,14 @@ def sentence_lengths(measured: DataFrame, by: list[str] | None = None) -> DataFr
 
 
 def length_histogram(measured: DataFrame, by: list[str], bins: int = 10, width: int = 40) -> DataFrame:
+    """The histogram of sentences: see ``histogram_of_lengths``."""
+    return histogram_of_lengths(measured.groupBy(*by, "n_words").agg(F.count(F.lit(1)).alias("n")), by, bins, width)
+
+
+def histogram_of_lengths(counted: DataFrame, by: list[str], bins: int = 10, width: int = 40) -> DataFrame:
     """``*by, bin, lo, hi, n, bar``: equal bins between the extremes, the last one closed; a group of one
     length is widened by a half on both sides."""
     # one row for each length of a group, then one for each group: as many entries as there are lengths
-    counted = measured.groupBy(*by, "n_words").agg(F.count(F.lit(1)).alias("n"))
     packed = counted.groupBy(*by).agg(
         F.collect_list(F.struct("n_words", "n")).alias("h"), F.min("n_words").cast("double").alias("a"), F.max("n_words").cast("double").alias("b")
     )

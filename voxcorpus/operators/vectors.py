@@ -8,6 +8,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -33,26 +35,35 @@ class HashedNgrams:
     and it needs no model; the default where no other embedder is given. Whole batches at once, as arrays."""
 
     name = "hashed-ngrams"
+    #: Texts whose arrays are worked on together; of as many sentences they stay in the processor's cache.
+    TOGETHER = 500
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        parts = [self._encode(texts[i : i + self.TOGETHER]) for i in range(0, len(texts), self.TOGETHER)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dim))
+
+    def _encode(self, texts: list[str]) -> np.ndarray:
         padded = [f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass") for t in texts]
         codes = np.frombuffer(b"".join(padded), "uint32").astype("uint64")
         owner = np.repeat(np.arange(len(texts)), [len(p) // 4 for p in padded])
         out = np.zeros(len(texts) * self.dim)
+        begins = owner * self.dim
         for n in (3, 4, 5):
             if len(codes) < n:
                 continue
             h = np.full(len(codes) - n + 1, n, "uint64")
             for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= codes[k : len(codes) - n + 1 + k]
+                h *= np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             inside = owner[: len(h)] == owner[n - 1 :]  # not over the border of two texts
-            place = owner[: len(h)] * self.dim + (h % np.uint64(self.dim)).astype("int64")
-            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-            out += np.bincount(place[inside], sign[inside], len(out))
+            rest = h & np.uint64(self.dim - 1) if self.dim & (self.dim - 1) == 0 else h % np.uint64(self.dim)
+            place = begins[: len(h)] + rest.view("int64")
+            sign = ((h >> np.uint64(63)).view("int64") * 2.0 - 1.0) * inside
+            out += np.bincount(place, sign, len(out))
         out = out.reshape(len(texts), self.dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1.0, norm)
@@ -130,6 +141,42 @@ def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     return df.withColumn("embedding", encode(F.col(text)))
 
 
+def encoded(texts: pa.Array, embedder: Embedder) -> np.ndarray:
+    """Vectors of length one, a row each (a zero vector stays); texts that come again are embedded once."""
+    coded = pc.fill_null(texts, "").dictionary_encode()
+    x = np.asarray(embedder.encode(coded.dictionary.to_pylist()), "float64").reshape(len(coded.dictionary), embedder.dim)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return (x / np.where(norm == 0, 1.0, norm))[coded.indices.to_numpy()]
+
+
+def unit_mean(sums: list[tuple[int, list[float]]]) -> np.ndarray | None:
+    """Mean of vectors of which there are partial counts and sums, of length one; None without any vector."""
+    n = sum(k for k, _ in sums)
+    if not n:
+        return None
+    mean = np.sum([s for _, s in sums], axis=0) / n
+    return mean / (np.linalg.norm(mean) + 1e-12)
+
+
+def extreme_texts(df: DataFrame, text: str, embedder: Embedder, middle: np.ndarray, k: int = L.SAMPLE_SENTENCES) -> DataFrame:
+    """``distance`` added, and of each Arrow batch only the rows that can be among the k nearest or farthest of all:
+    those no farther than its kth nearest, no nearer than its kth farthest, and what rounding may make equal to
+    these. Vectors are made anew from the texts, and none leaves its task."""
+    schema = df.select("*", F.lit(0.0).alias("distance")).schema
+    at, slack = df.columns.index(text), 2e-9
+
+    def near_or_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = 1.0 - encoded(batch.column(at), embedder) @ middle
+                ordered = np.sort(d)
+                low, high = ordered[min(k, len(d)) - 1] + slack, ordered[-min(k, len(d))] - slack
+                kept = pa.array(np.nonzero((d <= low) | (d >= high))[0])
+                yield pa.RecordBatch.from_arrays([*batch.take(kept).columns, pa.array(d).take(kept)], names=schema.names)
+
+    return df.mapInArrow(near_or_far, schema)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

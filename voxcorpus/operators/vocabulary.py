@@ -8,6 +8,12 @@ over counts, not over tokens.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +22,12 @@ from voxcorpus.functions import text as T
 from voxcorpus.functions.rows import beside, join_on
 
 
+#: Tokens that are sent to all tasks with their weights (some 75 MB in each); of more, the frequencies are exchanged.
+MOST_KNOWN = 500_000
+#: Tokens that a task counts before it hands their counts on.
+HELD = 200_000
+
+
 def tokens(docs: DataFrame, by: list[str], content: bool = True) -> DataFrame:
     """``*by, doc_seq, token``, one row for each occurrence; content: without stopwords and short ones."""
     rows = docs.select(*by, "doc_seq", F.explode(T.words(F.col("text"))).alias("token"))
@@ -27,6 +39,30 @@ def token_counts(docs: DataFrame, by: list[str], content: bool = True) -> DataFr
     return tokens(docs, by, content).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("brand_count"))
 
 
+def token_spread(docs: DataFrame) -> DataFrame:
+    """``token, brand_count, df`` of one corpus: occurrences, and documents (rows) that hold the token. One pass over
+    the texts; a task hands on a row for each of its tokens, not for each occurrence."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(L.WORD).findall
+        every, once = Counter(), Counter()
+        rows = lambda: pa.RecordBatch.from_pydict({"token": list(every), "n": [*every.values()], "d": [once[t] for t in every]})
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = find(text)
+                every.update(found)
+                once.update(set(found))
+                if len(every) > HELD:
+                    yield rows()
+                    every, once = Counter(), Counter()
+        if every:
+            yield rows()
+
+    parts = docs.where(F.col("text").isNotNull()).select(F.lower("text")).mapInArrow(count, "token string, n bigint, d bigint")
+    sums = parts.groupBy("token").agg(F.sum("n").alias("brand_count"), F.sum("d").alias("df"))
+    return sums.where(T.is_content(F.col("token")))
+
+
 def document_counts(docs: DataFrame, by: list[str]) -> DataFrame:
     """``*by, doc_seq, token, tf``."""
     return tokens(docs, by).groupBy(*by, "doc_seq", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -167,3 +203,45 @@ def tfidf(docs: DataFrame, by: list[str], keep: Column | None = None) -> DataFra
     )
     parts = document.select(*by, "norm", F.explode("ws").alias("x"))
     return parts.groupBy(*by, F.col("x.token").alias("token")).agg(F.sum(F.col("x.w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_known(docs: DataFrame, stats: DataFrame, n: int, keep: Column) -> DataFrame:
+    """``token, weight``: as ``tfidf`` of one corpus of ``n`` documents (rows), where ``stats``, ``token_spread`` of
+    them, is known already.
+
+    Up to ``MOST_KNOWN`` tokens that ``keep`` is true of go to all tasks, each document is weighed where it is
+    read, and tasks hand on their sums by token. Of more tokens none are sent: frequencies are exchanged.
+    """
+    spark = docs.sparkSession
+    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
+    known = stats.where(keep).select("token", idf.alias("idf")).limit(MOST_KNOWN + 1).toArrow()
+    if known.num_rows > MOST_KNOWN:
+        return tfidf(docs.withColumn("_all", F.lit(0)), ["_all"], keep).select("token", "weight")
+    names = known["token"].to_pylist()
+    sent = spark.sparkContext.broadcast(({t: i for i, t in enumerate(names)}, known["idf"].to_numpy()))
+    del names, known
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(L.WORD).findall
+        places, idf = sent.value
+        sums = np.zeros(len(places))
+        for batch in batches:
+            ids, sizes = [], []
+            for text in batch.column(0).to_pylist():
+                found = [i for i in map(places.get, find(text)) if i is not None]
+                ids += found
+                sizes.append(len(found))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pairs, tf = np.unique(owner * len(places) + np.array(ids, "int64"), return_counts=True)
+            owner, token = np.divmod(pairs, max(1, len(places)))
+            w = tf * idf[token]
+            norm = np.sqrt(np.bincount(owner, w * w, len(sizes)))
+            sums += np.bincount(token, w / norm[owner], len(places))
+        names = list(places)
+        some = np.nonzero(sums)[0]
+        for i in range(0, len(some), 10_000):
+            part = some[i : i + 10_000]
+            yield pa.RecordBatch.from_pydict({"token": [names[j] for j in part], "w": sums[part]})
+
+    parts = docs.where(F.col("text").isNotNull()).select(F.lower("text")).mapInArrow(weigh, "token string, w double")
+    return parts.groupBy("token").agg(F.sum("w").alias("weight"))

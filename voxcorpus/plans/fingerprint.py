@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,38 +97,38 @@ def fingerprint(
         docs.unpersist()
         return head | {"empty": True}
     clock = Timings({})
-    sentences = C.split_sentences(docs, BY, exact).persist()
-
-    def measure_cadence() -> dict:
-        measured = C.measure_sentences(sentences).persist()
-        row = _rows(C.aggregate_cadence(measured, BY))
-        out = row[0] if row else {"sentence_count": 0, "word_count": 0} | {m: 0.0 for m in C.MEASURES}
-        out.pop("corpus_id", None)
-        hist = _rows(C.length_histogram(measured, BY).orderBy("bin")) if row else []
+    # cut anew for each reader, as kept sentences would be the texts once more; not where texts run into each other
+    sentences = C.split_sentences(docs, BY, exact)
+    sentences = sentences.persist() if exact else sentences
+    usable = T.is_usable_sentence(F.col("sentence"))
+
+    def measure_cadence() -> tuple[dict, np.ndarray | None]:
+        by_length, middle = C.lengths_and_mean(sentences, usable, embedder)
+        table = spark.createDataFrame(by_length, ", ".join(["n_words int", *(f"{c} bigint" for c in C.SUMS)]))
+        out = _rows(C.cadence_of_lengths(table, []))[0] if by_length else {"sentence_count": 0, "word_count": 0} | {m: 0.0 for m in C.MEASURES}
+        hist = _rows(C.histogram_of_lengths(table.select("n_words", "n"), []).orderBy("bin")) if by_length else []
         if lengths and out["sentence_count"] <= MOST_LENGTHS:
-            in_order = C.sentence_lengths(measured).orderBy("doc_seq", "sent_seq").select("n_words").collect()
+            in_order = C.sentence_lengths(C.measure_sentences(sentences)).orderBy("doc_seq", "sent_seq").select("n_words").collect()
             out["sentence_lengths"] = [r["n_words"] for r in in_order]
         else:
             out["sentence_lengths"] = None
-        measured.unpersist()
-        return out | {"histogram": [{k: h[k] for k in ("bin", "lo", "hi", "n", "bar")} for h in hist]}
+        return out | {"histogram": [{k: h[k] for k in ("bin", "lo", "hi", "n", "bar")} for h in hist]}, middle
 
-    cadence = clock.of("cadence", measure_cadence)
-    counts = W.token_counts(docs, BY).persist()
+    cadence, middle = clock.of("cadence", measure_cadence)
+    stats = W.token_spread(docs).persist()
+    counts = stats.select(F.lit("c").alias("corpus_id"), "token", "brand_count")
 
     def measure_voice() -> dict:
-        usable = sentences.where(T.is_usable_sentence(F.col("sentence")))
-        vectors = V.embed(usable, "sentence", embedder).persist()
         near, far, vocab = [], [], []
-        if vectors.limit(1).count():
-            measured = V.distances(vectors, V.centroids(vectors, BY), BY)
-            order = ["doc_seq", "sent_seq"]
+        if middle is not None:
+            some = V.extreme_texts(sentences.where(usable).select("doc_seq", "sent_seq", "sentence"), "sentence", embedder, middle).persist()
+            distance, order = F.round("distance", 9), ["doc_seq", "sent_seq"]
             near, far = (
-                [{"text": r["sentence"], "distance": r["distance"]} for r in _rows(V.extremes(measured, BY, order, nearest=x).orderBy("rank"))]
-                for x in (True, False)
+                [{"text": r["sentence"], "distance": r["distance"]} for r in _rows(some.orderBy(x, *order).limit(L.SAMPLE_SENTENCES))]
+                for x in (distance.asc(), distance.desc())
             )
-            vocab = [[r["token"], r["brand_count"]] for r in _rows(W.top_vocabulary(counts, BY).orderBy("rank"))]
-        vectors.unpersist()
+            some.unpersist()
+            vocab = [[r["token"], r["brand_count"]] for r in _rows(counts.orderBy(F.desc("brand_count"), "token").limit(L.TOP_VOCABULARY))]
         return {
             "top_vocab": vocab, "closest_to_centroid": near, "farthest_from_centroid": far,
             "embedding_dim": embedder.dim if near else 0, "embed_model": embedder.name,
@@ -136,25 +137,24 @@ def fingerprint(
     voice = clock.of("voice", measure_voice)
 
     def measure_clusters() -> tuple[dict, DataFrame | None]:
-        weights = W.tfidf(docs, BY, W.in_cluster_vocabulary()).select("token", "weight").persist()
-        members = K.kmeans(V.embed(weights, "token", embedder)).persist()
+        weights = W.tfidf_known(docs, stats, n, W.in_cluster_vocabulary())
+        vectors = V.embed(weights, "token", embedder).persist()
+        members = K.kmeans(vectors).persist()
         size = members.count()
+        vectors.unpersist()
         if not size:
             return {"clusters": [], "n_clusters": 0, "n_dropped": 0, "vocab_size": 0, "clustered_tokens": 0}, None
-        alive = K.surviving(members, ["cluster"]).join(K.exemplars(members, ["cluster"]), "cluster").persist()
-        middles = V.centroids(members, ["cluster"]).join(alive.select("cluster"), "cluster")
-        rows = _rows(alive.orderBy("cluster"))
+        rows, middles, found = K.summary(members)
+        members.unpersist()
         clusters = [
             {"id": r["cluster"], "label": r["label"], "size": r["size"], "centroid_token": r["centroid_token"],
              "top_tokens": [[t["token"], t["weight"]] for t in r["top_tokens"]]}
             for r in rows
         ]
-        found = members.select("cluster").distinct().count()
-        weights.unpersist()
         return {
             "clusters": clusters, "n_clusters": len(clusters), "n_dropped": found - len(clusters), "vocab_size": size,
             "clustered_tokens": sum(c["size"] for c in clusters),
-        }, middles if clusters else None
+        }, spark.createDataFrame([(m,) for m in middles.tolist()], "centroid array<double>") if clusters else None
 
     clusters, middles = clock.of("clusters", measure_clusters)
 
@@ -162,7 +162,7 @@ def fingerprint(
         rates = W.brand_rates(counts, BY)
         fields = ["token", "brand_rate", "baseline_rate", "ratio", "brand_count"]
         signature = _rows(W.signature_words(rates, baseline, BY).orderBy("rank").select(*fields))
-        total = sum(r[0] or 0 for r in counts.agg(F.sum("brand_count")).collect())
+        unique, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("brand_count"), F.lit(0))).first()
         if not total:
             return {"signature_words": [], "forbidden_words": [], "forbidden_irrelevant": [], "brand_total_tokens": 0, "stats": {"note": "empty input"}}
         pool = W.forbidden_candidates(rates, baseline, docs, BY, top=L.SEMANTIC_POOL)
@@ -175,7 +175,6 @@ def fingerprint(
             for r in rows:
                 (stylistic if r.pop("stylistic") else irrelevant).append(r)
             stylistic = stylistic[: L.TOP_FORBIDDEN]
-        unique = counts.count()
         base = baseline.agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("t")).first()
         return {
             "signature_words": signature, "forbidden_words": stylistic, "forbidden_irrelevant": irrelevant,
@@ -198,7 +197,7 @@ def fingerprint(
         }
 
     tone = clock.of("tone", measure_tone)
-    counts.unpersist()
+    stats.unpersist()
     sentences.unpersist()
     docs.unpersist()
     return head | {

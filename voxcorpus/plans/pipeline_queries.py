@@ -95,7 +95,9 @@ UNION ALL SELECT 'vocab_size', CAST(count(*) AS DOUBLE) FROM counts WHERE brand_
 def fingerprint_whole(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline (cadence, voice, clusters, avoided words, tone) over all documents as one corpus; the
     figures in it that do not hang on an embedder."""
-    f = fingerprint(spark, corpus(spark, d), baseline(spark, d), "all", "documents_in", exact=False, lengths=False)
+    # a number is taken once in each corpus; of all documents as one, each needs its own
+    docs = corpus(spark, d).withColumn("doc_seq", F.xxhash64("corpus_id", "doc_seq"))
+    f = fingerprint(spark, docs, baseline(spark, d), "all", "documents_in", exact=False, lengths=False)
     figures = {m: f["cadence"][m] for m in _FIGURES}
     figures |= {k: f[k] for k in ("doc_count", "thin_corpus", "brand_total_tokens")} | f["stats"] | {"vocab_size": f["clusters"]["vocab_size"]}
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "name string, value double"), "value")
